@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, saved
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    measured = saved(spark, mixing.measure(docs).drop("text"), "measured")
+    return mixing.mix(spark, measured).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary import round_trip
 
@@ -31,9 +39,35 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.learn(spark, docs, read(spark, sf_dir, "labels"))
+    return quality.predicted(quality.score(spark, docs, trees), 0.5)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality, toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(spark, docs, read(spark, sf_dir, "labels"))
+    return quality.predicted(toxicity.score(spark, docs, model), 0.7)
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_edited
+
+    return compare_edited(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_token_binary": op2_token_binary,
     "op3_lexical_packing": op3_lexical_packing,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLES: dict[str, str] = {}
