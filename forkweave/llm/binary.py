@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, n, ids (packed 16- or 32-bit) of each whole text with the end id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = ChunkEncoder(tokenizer_path)
+        enc = ChunkEncoder.of(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             ids = [x + end for x in enc.encode(b["text"].tolist())]
@@ -81,7 +81,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 
 def _wide(spark: SparkSession, path: str) -> np.dtype:
-    return ChunkEncoder(path).dtype
+    return ChunkEncoder.of(path).dtype
 
 
 def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, docs_per_file: int = 1000, max_files: int = 20_000) -> DataFrame:

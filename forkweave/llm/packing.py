@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .tokens import ChunkEncoder
 
 SHARD_DOCS = 512
-_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class Bm25:
@@ -96,9 +95,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
     keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = ChunkEncoder(tokenizer_path)
-        enc = _ENCODERS[tokenizer_path]
+        enc = ChunkEncoder.of(tokenizer_path)
         shard = int(pdf["shard"].iloc[0])
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
         ids = [np.append(np.frombuffer(x, enc.dtype).astype("<u4"), np.uint32(end_id)) for x in enc.encode(pdf["text"].tolist())]

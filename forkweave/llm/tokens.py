@@ -4,49 +4,102 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 
+#: White space of four kinds and the other characters behind it.
 _PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: White space of any kind that is none of the four above; texts that hold it are encoded whole.
+#: White space of any kind that is none of these four; texts that hold it are encoded whole.
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85᠎​﻿]")
+_LATIN_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+#: In Latin-1: a run of letters, or of others; letters behind an apostrophe stay with it (contractions).
+_RUNS = rf"(?:[{_L}]+|[^{_L} \n\t\r]+(?:(?<=')[{_L}]+)?)"
+_BARE = re.compile(_RUNS)
+_SPACED = re.compile(rf"[ \n\t\r]*{_RUNS}|[ \n\t\r]+")
+#: Byte-level vocabularies write a byte as the character of that number if it is printable, else from 256 on in order.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+_KEPT: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk and keeps the ids of chunks.
 
-    A chunk is a run of white space and the run of other characters behind it. The pre-tokenizers of the
-    supported vocabularies never join a character to white space that follows it, so the ids of a text are
-    those of its chunks in order. Most chunks repeat; only new ones reach the tokenizer.
+    The pre-tokenizers of the two kinds of vocabulary never join a character to white space behind it, nor letters to
+    other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its
+    chunks in order. Most chunks repeat; only new ones reach the tokenizer. A vocabulary with word ends drops white
+    space and lower-cases, which is done to ASCII letters beforehand.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tok.model)  # for what is one pre-token already
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.keep, self.cache = keep, {}
+        self.bare = getattr(self.tok.model, "end_of_word_suffix", None) is not None
+        self.keep, self.words, self.runs = keep, {}, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    @classmethod
+    def of(cls, path: str) -> ChunkEncoder:
+        """The process's encoder: a worker keeps its cache from task to task."""
+        if path not in _KEPT:
+            _KEPT[path] = cls(path)
+        return _KEPT[path]
+
+    def _ids(self, texts: list[str], tok=None) -> list[bytes]:
+        """Ids of each text by the tokenizer itself."""
         out: list[bytes] = []
         for i in range(0, len(texts), 2048):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
+            ids = [e.ids for e in (tok or self.tok).encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
+            ends = list(accumulate(map(len, ids), initial=0))
+            raw, k = np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
+            out += [raw[k * s : k * e] for s, e in zip(ends, ends[1:], strict=False)]
         return out
 
+    def _learn(self, runs: set[str]) -> None:
+        """Ids of new runs. A run of letters, with one space before it or none, is one pre-token: the model alone will do."""
+        one, more = [], []
+        for x in runs.difference(self.runs):
+            (one if (x[1:] if x[0] == " " else x).isalpha() else more).append(x)
+        self.runs.update(zip(more, self._ids(more), strict=True))
+        plain = [("Ġ" + x[1:] if x[0] == " " else x) if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_CHARS) for x in one]
+        self.runs.update(zip(one, self._ids(plain, self.model), strict=True))
+
+    def _pieces(self, t: str) -> list[str] | None:
+        """Words of a text in Latin-1 whose white space is plain, for the cache; None for other texts."""
+        try:
+            raw = t.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if len(raw.translate(None, _LATIN_SPACE)) < len(raw) or "<|" in t:
+            return None
+        if self.bare:
+            return t.lower().split()
+        return None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian numbers of self.dtype."""
-        cache, split, new = self.cache, [], set()
-        for t in texts:
-            chunks = [t] if _OTHER_SPACE.search(t) else _PLAIN.findall(t)
-            split.append(chunks)
-            new.update(c for c in set(chunks) if c not in cache)
-        fresh = list(new)
-        cache.update(zip(fresh, self._ids(fresh), strict=True))
-        get = cache.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        if len(cache) > self.keep:  # the first ones seen are the commonest
-            self.cache = dict(islice(cache.items(), self.keep // 2))
+        pieces = [self._pieces(t) for t in texts]
+        words = [[] if p is None else p if self.bare else p[1:] for p in pieces]
+        fresh = list(set().union(*words).difference(self.words))
+        split = [_BARE.findall(x) for x in fresh] if self.bare else [_SPACED.findall(" " + x) for x in fresh]
+        rest = [i for i, p in enumerate(pieces) if p is None]
+        odd = [[t] if _OTHER_SPACE.search(t) or "<|" in t else _PLAIN.findall(t) for t in (texts[i] for i in rest)]
+        first = [[] if p is None or self.bare else _SPACED.findall(p[0]) for p in pieces]
+        self._learn(set().union(*split, *first))
+        whole = list(set().union(*odd).difference(self.runs))
+        self.runs.update(zip(whole, self._ids(whole), strict=True))
+        run, word = self.runs.__getitem__, self.words.__getitem__
+        self.words.update(zip(fresh, [b"".join(map(run, x)) for x in split], strict=True))
+        out = [b"".join([*map(run, f), *map(word, w)]) for f, w in zip(first, words, strict=True)]
+        for i, chunks in zip(rest, odd, strict=True):
+            out[i] = b"".join(map(run, chunks))
+        for name in ("words", "runs"):  # the first ones seen are the commonest
+            if len(kept := getattr(self, name)) > self.keep:
+                setattr(self, name, dict(islice(kept.items(), self.keep // 2)))
         return out
