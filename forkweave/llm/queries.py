@@ -39,6 +39,13 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    out = round_trip(spark, read(spark, sf_dir, "pages"), least=100)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -65,9 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_binary": op2_token_binary,
     "op3_lexical_packing": op3_lexical_packing,
+    "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
 
-ORACLES: dict[str, str] = {}
+#: Payloads as a response or a revisit of the smallest page with the same one.
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest AS d, min(page_id) AS first_id FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f ON payload_digest = d
+"""
+
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
