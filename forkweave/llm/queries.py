@@ -62,6 +62,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(toxicity.score(spark, docs, model), 0.7)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    out = pii.spans(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(4)], F.sha2(pii.listed("pii_base").cast("binary"), 256).alias("base_sha256"), pii.listed("pii_spans").alias("spans"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import link
+
+    return link(spark, read(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import compare_edited
 
@@ -75,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_pii": op8_pii,
+    "op9_near_dedup": op9_near_dedup,
     "op10_fingerprint": op10_fingerprint,
 }
 
