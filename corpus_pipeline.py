@@ -1,5 +1,58 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents of good quality, one of each near-duplicate group, without personal data, mixed to
+source weights and packed into training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forkweave.llm import mixing, neardup, packing, pii, quality
+from forkweave.llm.common import read, saved
+from forkweave.llm.queries import tokenizer
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more."""
+    trees = quality.learn(spark, docs, read(spark, sf_dir, "labels"))
+    return quality.score(spark, docs, trees).where("score >= 0.5").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word runs are linked by a similarity of 0.8 or more."""
+    return neardup.survivors(spark, docs, words=5, num=80, den=100).select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and disclosing terms replaced; n_chars follows the text."""
+    out = pii.sanitised(pii.spans(spark, docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; documents that it does not take go."""
+    out = mixing.mix(spark, mixing.measure(docs))
+    return out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    out = packing.pack(spark, docs, tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
+
+
+STAGES = [("quality", good), ("near_dedup", distinct), ("pii", clean), ("mixing", mixed), ("packing", packed)]
+
+#: The classifier's trees have no SQL form.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

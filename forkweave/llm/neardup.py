@@ -51,7 +51,7 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def sketches(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), key (of the set), sketch (its smallest hashes, ascending)."""
+    """doc_id, h (the text's hash), n (set size), key (of the set), sketch (its smallest hashes, ascending)."""
     small_batches(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,9 +60,10 @@ def sketches(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
             for first, texts in batches(b["text"].tolist()):
                 sets = Words(texts).shingle_sets(words)
                 low = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]  # signed, in the same order
-                yield pd.DataFrame({"doc_id": ids.iloc[first : first + len(texts)].to_numpy(), "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "sketch": low})
+                at = slice(first, first + len(texts))
+                yield pd.DataFrame({"doc_id": ids.iloc[at].to_numpy(), "h": b["h"].iloc[at].to_numpy(), "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "sketch": low})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, key binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, key binary, sketch array<long>")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -158,7 +159,7 @@ def _compare(least: float):
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents whose sets have den * intersection >= num * union are linked."""
+    """doc_id, h, n_shingles, component_id, kept: documents whose sets have den * intersection >= num * union are linked."""
     least = num / den
     rows = saved(spark, sketches(spark, docs, words), "sketches")
     known = rows.where("doc_id is not null and n > 0")
@@ -204,6 +205,17 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
 
     final = saved(spark, components(spark, first.unionAll(second).distinct()), "components")
     classes = reps.select("key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(classes, "key", "left")
+    out = rows.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(classes, "key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def survivors(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without the documents that are not kept: of each group, the one with the smallest doc_id stays."""
+    found = saved(spark, link(spark, docs, words, num, den).select("doc_id", "h", "kept"), "linked")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h"))
+    out = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if again else out

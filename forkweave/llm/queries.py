@@ -39,6 +39,12 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op4_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pqdedup import link
+
+    return link(spark, read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -73,7 +79,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import link
 
-    return link(spark, read(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return link(spark, read(spark, sf_dir, "documents"), words=3, num=85, den=100).drop("h")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_binary": op2_token_binary,
     "op3_lexical_packing": op3_lexical_packing,
+    "op4_pq_dedup": op4_pq_dedup,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
