@@ -36,10 +36,14 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
     full = np.zeros(int(padded.sum()), np.dtype("<u4"))
     at = np.arange(len(ranks)) + np.repeat(ends - padded - (np.cumsum(counts) - counts), counts)
     full[at] = ranks
-    size = 1 + (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
+    size = 1 + (full > 0xFF).astype(np.uint8)
+    short = not len(full) or full.max() <= 0xFFFF  # ranks of a small vocabulary
+    if not short:
+        size += (full > 0xFFFF).astype(np.uint8) + (full > 0xFFFFFF)
     codes = (size - 1).reshape(-1, 4).astype(np.uint8)
     control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8)
-    data = full.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    wide = full.astype("<u2").view(np.uint8).reshape(-1, 2) if short else full.view(np.uint8).reshape(-1, 4)
+    data = wide[np.arange(wide.shape[1]) < size[:, None]]
     bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
     return [(control[(e - p) // 4 : e // 4].tobytes(), data[bounds[e - p] : bounds[e]].tobytes()) for e, p in zip(ends.tolist(), padded.tolist(), strict=True)]
 
@@ -50,7 +54,7 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     at = np.cumsum(size) - size
     data = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
     out = data[at]
-    for k in range(1, 4):
+    for k in range(1, int(size.max(initial=1))):
         more = np.flatnonzero(size > k)
         out[more] |= data[at[more] + k] << np.uint32(8 * k)
     padded = -(-counts // 4) * 4

@@ -8,6 +8,10 @@ from itertools import accumulate, chain, islice
 
 import numpy as np
 
+from .textnum import LOWER, Words, batches
+
+SAME = np.arange(256, dtype=np.uint8)
+
 #: White space of four kinds and the other characters behind it.
 _PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space of any kind that is none of these four; texts that hold it are encoded whole.
@@ -24,16 +28,42 @@ _BYTE_CHARS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 _KEPT: dict[str, ChunkEncoder] = {}
 
 
+class Table:
+    """Ids of words by 64-bit hash: sorted keys, and where in a pool of ids each word's are."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ascending hashes, and which are there."""
+        place = np.searchsorted(self.keys, h)
+        there = np.zeros(len(h), bool)
+        if len(self.keys):
+            there = self.keys[np.minimum(place, len(self.keys) - 1)] == h
+        return place, there
+
+    def add(self, place: np.ndarray, h: np.ndarray, ids: list[bytes]) -> None:
+        new = np.frombuffer(b"".join(ids), self.pool.dtype)
+        n = np.array([len(x) for x in ids], np.int64) // self.pool.dtype.itemsize
+        if self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(new), self.pool.dtype)])
+        self.pool[self.used : self.used + len(new)] = new
+        self.keys, self.at, self.n = np.insert(self.keys, place, h), np.insert(self.at, place, self.used + np.cumsum(n) - n), np.insert(self.n, place, n)
+        self.used += len(new)
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk and keeps the ids of chunks.
+    """Encodes texts word by word and keeps the ids of words.
 
     The pre-tokenizers of the two kinds of vocabulary never join a character to white space behind it, nor letters to
-    other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its
-    chunks in order. Most chunks repeat; only new ones reach the tokenizer. A vocabulary with word ends drops white
-    space and lower-cases, which is done to ASCII letters beforehand.
+    other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its words,
+    with the white space before them, in order, and the ids of a word are those of its runs of letters and of others.
+    Most words repeat: they are found by hash, many at once, and only new runs reach the tokenizer. A vocabulary with
+    word ends drops white space and lower-cases. Texts beyond Latin-1 or with unusual white space are split by patterns.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,7 +72,7 @@ class ChunkEncoder:
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.bare = getattr(self.tok.model, "end_of_word_suffix", None) is not None
-        self.keep, self.words, self.runs = keep, {}, {}
+        self.keep, self.words, self.runs = keep, Table(self.dtype), {}
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -70,36 +100,62 @@ class ChunkEncoder:
         plain = [("Ġ" + x[1:] if x[0] == " " else x) if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_CHARS) for x in one]
         self.runs.update(zip(one, self._ids(plain, self.model), strict=True))
 
-    def _pieces(self, t: str) -> list[str] | None:
-        """Words of a text in Latin-1 whose white space is plain, for the cache; None for other texts."""
+    def _plain(self, t: str) -> bool:
+        """Whether a text is in Latin-1 with plain white space, and single (for vocabularies that keep it)."""
         try:
             raw = t.encode("latin-1")
         except UnicodeEncodeError:
-            return None
+            return False
         if len(raw.translate(None, _LATIN_SPACE)) < len(raw) or "<|" in t:
-            return None
-        if self.bare:
-            return t.lower().split()
-        return None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ")
+            return False
+        return self.bare or not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[:1] in " \n" or t[-1:] in " \n")
+
+    def _fast(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts."""
+        w = Words(texts)
+        h = w.span(w.sums(LOWER if self.bare else SAME), w.start, w.end)
+        if not self.bare:  # what stands before a word is part of it: nothing, a newline or a space
+            first = np.isin(w.start, w.doc_start)
+            newline = ~first & (w.buf[w.start - 1] == 10)
+            h = h ^ np.where(first, np.uint64(0x1F0E3DA5C7), np.where(newline, np.uint64(0x5AC7D3), np.uint64(0)))
+        keys, some, back = np.unique(h, return_index=True, return_inverse=True)
+        place, there = self.words.find(keys)
+        new = np.flatnonzero(~there)
+        if len(new):
+            raw = b"\n".join(texts)
+            fresh = [raw[s:e].decode() for s, e in zip(w.start[some[new]].tolist(), w.end[some[new]].tolist(), strict=True)]
+            if self.bare:
+                split = [_BARE.findall(x.lower()) for x in fresh]
+            else:
+                lead = np.where(first[some[new]], 0, np.where(newline[some[new]], 1, 2)).tolist()
+                split = [_SPACED.findall(("", "\n", " ")[k] + x) for k, x in zip(lead, fresh, strict=True)]
+            self._learn(set().union(*split))
+            get = self.runs.__getitem__
+            self.words.add(place[new], keys[new], [b"".join(map(get, x)) for x in split])
+            place, _ = self.words.find(keys)
+        at, n = self.words.at[place][back], self.words.n[place][back]
+        ends = np.cumsum(n)
+        ids = self.words.pool[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        k = self.dtype.itemsize
+        per = np.cumsum(np.bincount(w.doc, n, w.n).astype(np.int64)) * k
+        return [ids[s:e] for s, e in zip([0, *per[:-1].tolist()], per.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian numbers of self.dtype."""
-        pieces = [self._pieces(t) for t in texts]
-        words = [[] if p is None else p if self.bare else p[1:] for p in pieces]
-        fresh = list(set().union(*words).difference(self.words))
-        split = [_BARE.findall(x) for x in fresh] if self.bare else [_SPACED.findall(" " + x) for x in fresh]
-        rest = [i for i, p in enumerate(pieces) if p is None]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [self._plain(t) for t in texts]
+        fast = [i for i, ok in enumerate(plain) if ok and texts[i]]
+        for first, raw in batches([texts[i] for i in fast], 1 << 21):
+            for i, x in zip(fast[first:], self._fast(raw), strict=False):
+                out[i] = x
+        rest = [i for i, ok in enumerate(plain) if not ok]
         odd = [[t] if _OTHER_SPACE.search(t) or "<|" in t else _PLAIN.findall(t) for t in (texts[i] for i in rest)]
-        first = [[] if p is None or self.bare else _SPACED.findall(p[0]) for p in pieces]
-        self._learn(set().union(*split, *first))
         whole = list(set().union(*odd).difference(self.runs))
         self.runs.update(zip(whole, self._ids(whole), strict=True))
-        run, word = self.runs.__getitem__, self.words.__getitem__
-        self.words.update(zip(fresh, [b"".join(map(run, x)) for x in split], strict=True))
-        out = [b"".join([*map(run, f), *map(word, w)]) for f, w in zip(first, words, strict=True)]
         for i, chunks in zip(rest, odd, strict=True):
-            out[i] = b"".join(map(run, chunks))
-        for name in ("words", "runs"):  # the first ones seen are the commonest
-            if len(kept := getattr(self, name)) > self.keep:
-                setattr(self, name, dict(islice(kept.items(), self.keep // 2)))
+            out[i] = b"".join(map(self.runs.__getitem__, chunks))
+        if len(self.runs) > 400_000:  # the first ones seen are the commonest
+            self.runs = dict(islice(self.runs.items(), 200_000))
+        if len(self.words.keys) > self.keep:
+            self.words = Table(self.dtype)
         return out
