@@ -32,7 +32,7 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 2.0, least: float = 5.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 1.0) -> Trees:
     """Logistic loss, second-order gains; a node that no split improves sends all to its left."""
     n, k = x.shape
     inner = (1 << depth) - 1

@@ -9,14 +9,12 @@ doc_id; all else works on classes.
 2. Round one links each list's members to its smallest member, a hub, so it makes as many candidates as list entries.
    Union sketches of SKETCH hashes estimate the similarity and filter far below the threshold; exact Jaccard on full sets
    confirms. Confirmed links give components.
-3. Round two compares the members of a list that are in different components, by shared sketch hashes, in blocks, and
-   gives only the candidates that pass. A list of more than HOT members (a passage that many documents share) is compared
+3. Round two compares the members of a list that are in different components, in blocks: first by sketches, which tells
+   who has a candidate at all, then those by full sets. A pair is met in the list of its smallest common key alone. A
+   block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT members (a passage that many documents share) is compared
    only among classes with at most MISSES keys that are not hot: any other pair meets in a list that is not hot, with the
    same kind of bound as in 1. Such lists are cut by set size, as similar sets have similar sizes, and into blocks.
 
-Only candidates that pass the sketch filter are written out; a group of near copies costs candidates in proportion to
-its members once its components are known.
-
 Defined results: a null text has no words; a null doc_id links with nothing, has a null component_id and is kept; rows
 that share a doc_id are judged by their own texts; repeated rows are kept; an empty table gives no rows; further columns
 are not read.
@@ -33,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches
-from .components import components
+from .components import components, forest
 from .textnum import Words, batches
 
-KEYS = 14
+KEYS = 10
 SKETCH = 32
 HOT = 256
 MISSES = 6
@@ -83,10 +81,9 @@ def _floor(least: float) -> float:
     return max(0.05, least - 5.5 * math.sqrt(least * (1 - least) / SKETCH))
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs with den * intersection >= num * union on full sets, which are made anew from the texts in question."""
-    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = saved(spark, ids.join(reps.select("rep", "key"), "rep"), "ids")
+def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """rep, set (sorted 64-bit hashes) of the classes in ids, made anew from their texts."""
+    ids = saved(spark, ids.distinct().join(reps.select("rep", "key"), "rep"), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(ids) if few else ids, "rep")
 
@@ -96,66 +93,176 @@ def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, reps: Dat
                 out = [(r, s.tobytes()) for r, k, s in zip(b["rep"].iloc[first:], b["key"].iloc[first:], Words(texts).shingle_sets(words), strict=False) if _key(s) == bytes(k)]
                 yield pd.DataFrame(out, columns=["rep", "set"])
 
-    sets = saved(spark, wanted.mapInPandas(full, "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    return saved(spark, wanted.mapInPandas(full, "rep long, set binary").dropDuplicates(["rep"]), "sets")
+
+
+def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs with den * intersection >= num * union on full sets."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
 
     def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield b.loc[keep, ["a", "b"]]
+            keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(b["x"], b["y"], strict=True)]
+            yield b.loc[np.array(keep, bool), ["a", "b"]]
 
     return saved(spark, both.mapInPandas(exact, "a long, b long"), "confirmed")
 
 
-def _compare(least: float):
-    """Pairs of one block that are in different components and share enough sketch hashes."""
-    floor = _floor(least)
+def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return den * both >= num * (len(p) + len(q) - both)
+
+
+def _marks(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(values)), np.float32)
+    for k, s in enumerate(sets):
+        out[k, np.searchsorted(values, s)] = 1
+    return out
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], wide: int = 1 << 14) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, over slices of the values so that memory stays bounded."""
+    values = np.unique(np.concatenate([*left, *right]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(values), wide):
+        part = values[at : at + wide]
+        cut = lambda s, part=part: s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+        out += _marks([cut(s) for s in left], part) @ _marks([cut(s) for s in right], part).T
+    return out
+
+
+def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of row pairs of one block that are in different components, may be similar and have the list's value as smallest common key."""
+    side, cross, n, label = rows["side"].to_numpy(), bool(rows["cross"].iloc[0]), rows["n"].to_numpy(), rows["label"].to_numpy()
+    v = rows["v"].iloc[0]
+    host = np.flatnonzero(side == 0)
+    meet = np.flatnonzero(side == 1) if cross else np.arange(len(rows))
+    if not len(host) or not len(meet):
+        return host[:0], host[:0]
+    large, small = np.maximum(n[host][:, None], n[meet]), np.minimum(n[host][:, None], n[meet])
+    ok = (label[host][:, None] != label[meet]) & (small >= least * large)
+    if not cross:
+        ok &= host[:, None] < meet
+    if not ok.any():
+        return host[:0], host[:0]
+    ok &= _shared([sketch[k] for k in host], [sketch[k] for k in meet]) >= _floor(least) * np.minimum(SKETCH, large)
+    if ok.any():
+        before = [np.asarray(s)[np.asarray(s) < v] for s in rows["keys"]]
+        ok &= _shared([before[k] for k in host], [before[k] for k in meet]) == 0
+    i, j = np.nonzero(ok)
+    return host[i], meet[j]
+
+
+def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Places of rows that have a candidate in their list; all short lists of a batch at once."""
+    first, second = [], []
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        first.append((at + i).ravel())
+        second.append((at + j).ravel())
+    a, b = np.concatenate(first), np.concatenate(second)
+    n, label, v = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["v"].to_numpy()
+    large = np.maximum(n[a], n[b])
+    ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * large)
+    a, b, large = a[ok], b[ok], large[ok]
+    out = []
+    for k in range(0, len(a), 1 << 14):
+        p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+        x, y = sketch[p], sketch[q]
+        both = np.sort(np.concatenate([x, y], 1), 1)
+        same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+        listed = np.sort(np.concatenate([keys[p], keys[q]], 1), 1)
+        twice = (listed[:, 1:] == listed[:, :-1]) & (listed[:, 1:] < v[p][:, None])
+        good = (same.sum(1) >= _floor(least) * np.minimum(SKETCH, large[k : k + (1 << 14)])) & ~twice.any(1)
+        out += [p[good], q[good]]
+    return np.unique(np.concatenate(out)) if out else a[:0]
+
+
+_NONE = np.iinfo(np.int64).max
+SHORT = 48
+
+
+def _padded(lists: list, width: int) -> np.ndarray:
+    out = np.full((len(lists), width), _NONE, np.int64)
+    for k, s in enumerate(lists):
+        out[k, : len(s)] = s
+    return out
+
+
+def _have_candidates(least: float):
+    """gid, rep, side of the rows that have a candidate in their block."""
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_blocks(parts):
+            gid = rows["gid"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
+            sizes = np.diff(np.append(starts, len(gid)))
+            lists = rows["sketch"].tolist()
+            short = (sizes <= SHORT) & ~rows["cross"].to_numpy()[starts]
+            keep = []
+            if short.any():
+                keep.append(_small(rows, _padded(lists, SKETCH), _padded(rows["keys"].tolist(), KEYS), starts[short], sizes[short], least))
+            for s, n in zip(starts[~short].tolist(), sizes[~short].tolist(), strict=True):
+                i, j = _candidates(rows.iloc[s : s + n], [np.asarray(x) for x in lists[s : s + n]], least)
+                keep.append(np.unique(np.concatenate([i, j])) + s)
+            at = np.concatenate(keep).astype(np.int64) if keep else np.zeros(0, np.int64)
+            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "cross", "keys"]]
+
+    return task
+
+
+def _whole_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in pieces that end where a block ends."""
+    held: list[pd.DataFrame] = []
+    for b in parts:
+        if not len(b):
+            continue
+        gid = b["gid"].to_numpy()
+        cuts = np.flatnonzero(gid != gid[-1])
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if held and (cut or held[-1]["gid"].iloc[-1] != gid[0]):
+            if cut:
+                held.append(b.iloc[:cut])
+            yield pd.concat(held, ignore_index=True)
+            held = [b.iloc[cut:]]
+        elif cut:
+            yield b.iloc[:cut].reset_index(drop=True)
+            held = [b.iloc[cut:]]
+        else:
+            held.append(b)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _links_in_blocks(least: float, num: int, den: int):
+    """A spanning forest of each block's confirmed links, from full sets."""
 
     def block(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        # side 0 meets side 0 and side 1; in a block of two parts, side 0 meets side 1 alone
-        host = rows[rows["side"] == 0]
-        guest = rows[rows["side"] == 1]
-        out: list[tuple[int, int]] = []
-        if not len(host):
-            return out
-        meet = guest if rows["cross"].iloc[0] else pd.concat([host, guest])
-        if not len(meet):
-            return out
-        values = np.unique(np.concatenate([np.concatenate(host["sketch"].tolist()), np.concatenate(meet["sketch"].tolist())]))
-
-        def marks(part: pd.DataFrame) -> np.ndarray:
-            m = np.zeros((len(part), len(values)), np.float32)
-            for k, s in enumerate(part["sketch"]):
-                m[k, np.searchsorted(values, s)] = 1
-            return m
-
-        hn, mn = host["n"].to_numpy(), meet["n"].to_numpy()
-        shared = marks(host) @ marks(meet).T
-        large, small = np.maximum(hn[:, None], mn), np.minimum(hn[:, None], mn)
-        ok = (shared >= floor * np.minimum(SKETCH, large)) & (small >= least * large) & (host["label"].to_numpy()[:, None] != meet["label"].to_numpy())
-        a, b = host["rep"].to_numpy(), meet["rep"].to_numpy()
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            if a[i] != b[j]:
-                out.append((min(a[i], b[j]), max(a[i], b[j])))
-        return out
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in parts:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            cuts = np.flatnonzero(np.diff(held["gid"].to_numpy())) + 1
-            if len(cuts):
-                found = [p for piece in np.split(np.arange(cuts[-1]), cuts[:-1]) for p in block(held.iloc[piece])]
-                held = held.iloc[cuts[-1] :]
-                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-        if held is not None and len(held):
-            yield pd.DataFrame(sorted(set(block(held))), columns=["a", "b"], dtype="int64")
-
-    return run
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        sketch = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
+        i, j = _candidates(rows, sketch, least)
+        if not len(i):
+            return []
+        if len(i) <= 20_000:
+            good = np.array([_similar(sets[p], sets[q], num, den) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        else:
+            left, right = np.unique(i), np.unique(j)
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])[np.searchsorted(left, i), np.searchsorted(right, j)]
+            n = np.array([len(s) for s in sets])
+            good = den * shared >= num * (n[i] + n[j] - shared)
+        rep = rows["rep"].to_numpy()
+        return forest(rep[i[good]], rep[j[good]]) if good.any() else []
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_blocks(parts):
+            gid = rows["gid"].to_numpy()
+            cuts = np.flatnonzero(np.diff(gid)) + 1
+            out = [p for at in np.split(np.arange(len(gid)), cuts) for p in block(rows.iloc[at])]
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return task
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -169,7 +276,9 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
     lists = saved(spark, values.join(counts, "v"), "lists")
 
     stars = lists.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _confirmed(spark, docs, saved(spark, _estimated(stars, reps, least), "stars"), reps, words, num, den)
+    stars = saved(spark, _estimated(stars, reps, least), "stars")
+    ends = stars.select(F.col("a").alias("rep")).unionAll(stars.select(F.col("b").alias("rep")))
+    first = _confirmed(spark, stars, _sets(spark, docs, ends, reps, words), num, den)
 
     label = components(spark, first)
     cold = lists.groupBy("rep").agg(F.sum((F.col("members") <= HOT).cast("int")).alias("cold"))
@@ -198,10 +307,15 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
     blocks = small
     for part in (host_guest, guests, hosts, left, right):
         blocks = blocks.unionByName(part)
-    blocks = blocks.withColumn("gid", F.xxhash64("v", "band", "i", "j")).select("gid", "rep", "n", "label", "side", "cross")
-    blocks = blocks.join(reps.select("rep", "sketch"), "rep").repartition("gid").sortWithinPartitions("gid")
-    across = blocks.mapInPandas(_compare(least), "a long, b long").distinct()
-    second = _confirmed(spark, docs, saved(spark, _estimated(across, reps, least), "across"), reps, words, num, den)
+    blocks = blocks.withColumn("gid", F.xxhash64("v", "band", "i", "j")).select("gid", "v", "rep", "n", "label", "side", "cross")
+    # the lists that a class is compared in: a pair is met in the smallest of those that both are in
+    keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("v")).alias("keys"))
+    dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
+    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, cross boolean, keys array<long>"), "met")
+    sets = _sets(spark, docs, met.select("rep"), reps, words)
+    small_batches(spark, 256)
+    full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
+    second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")
 
     final = saved(spark, components(spark, first.unionAll(second).distinct()), "components")
     classes = reps.select("key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))

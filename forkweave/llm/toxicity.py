@@ -140,7 +140,7 @@ class Model:
         return np.interp(self.trees.score(self.features(texts).astype(np.float64)), *self.curve)
 
 
-def lexicon(sample: DataFrame, size: int = 4000, least: int = 8) -> Lexicon:
+def lexicon(sample: DataFrame, size: int = 4000, least: int = 4) -> Lexicon:
     """The stems and words with the highest odds among toxic texts, at most `size`; equal texts count once."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

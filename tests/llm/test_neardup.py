@@ -48,9 +48,10 @@ def corpus(seed, n):
 
 
 def test_links_match_brute_force(spark, monkeypatch):
-    for seed, words, num, hot in ((1, 3, 85, 256), (2, 5, 80, 12), (3, 3, 85, 5)):
+    for seed, words, num, hot, misses, short in ((1, 3, 85, 256, 6, 48), (2, 5, 80, 12, 6, 48), (3, 3, 85, 5, 10, 3)):
         monkeypatch.setattr(neardup, "HOT", hot)
-        monkeypatch.setattr(neardup, "MISSES", 13)
+        monkeypatch.setattr(neardup, "MISSES", misses)
+        monkeypatch.setattr(neardup, "SHORT", short)
         rows = corpus(seed, 220)
         df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string").repartition(3)
         got = sorted((tuple(r) for r in neardup.link(spark, df, words, num, 100).drop("h").collect()), key=str)
