@@ -9,6 +9,7 @@ doc_id; all else works on classes.
 2. Round one links each list's members to its smallest member, a hub, so it makes as many candidates as list entries.
    Union sketches of SKETCH hashes estimate the similarity and filter far below the threshold; exact Jaccard on full sets
    confirms. Confirmed links give components.
+   Hot lists (more than HOT members) have two more hubs: another member of the first hub's component, and one outside.
 3. Round two compares the members of a list that are in different components, in blocks: first by sketches, which tells
    who has a candidate at all, then those by full sets. A pair is met in the list of its smallest common key alone. A
    block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT members (a passage that many documents share) is compared
@@ -133,23 +134,22 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], wide: int = 1 << 14
 
 
 def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of row pairs of one block that are in different components, may be similar and have the list's value as smallest common key."""
-    side, cross, n, label = rows["side"].to_numpy(), bool(rows["cross"].iloc[0]), rows["n"].to_numpy(), rows["label"].to_numpy()
+    """Places of row pairs of one block that are in different components, may be similar and have the list's value as smallest common key.
+
+    Rows at home meet each other and the visitors; of two rows that are both of the band above (side 1) that band takes care.
+    """
+    side, visits, n, label = rows["side"].to_numpy(), rows["visits"].to_numpy(), rows["n"].to_numpy(), rows["label"].to_numpy()
     v = rows["v"].iloc[0]
-    host = np.flatnonzero(side == 0)
-    meet = np.flatnonzero(side == 1) if cross else np.arange(len(rows))
-    if not len(host) or not len(meet):
-        return host[:0], host[:0]
+    host, meet = np.flatnonzero(~visits), np.arange(len(rows))
     large, small = np.maximum(n[host][:, None], n[meet]), np.minimum(n[host][:, None], n[meet])
-    ok = (label[host][:, None] != label[meet]) & (small >= least * large)
-    if not cross:
-        ok &= host[:, None] < meet
+    ok = (label[host][:, None] != label[meet]) & (small >= least * large) & ((side[host][:, None] == 0) | (side[meet] == 0))
+    ok &= visits[meet] | (host[:, None] < meet)
     if not ok.any():
         return host[:0], host[:0]
-    ok &= _shared([sketch[k] for k in host], [sketch[k] for k in meet]) >= _floor(least) * np.minimum(SKETCH, large)
+    ok &= _shared([sketch[k] for k in host], sketch) >= _floor(least) * np.minimum(SKETCH, large)
     if ok.any():
         before = [np.asarray(s)[np.asarray(s) < v] for s in rows["keys"]]
-        ok &= _shared([before[k] for k in host], [before[k] for k in meet]) == 0
+        ok &= _shared([before[k] for k in host], before) == 0
     i, j = np.nonzero(ok)
     return host[i], meet[j]
 
@@ -192,7 +192,7 @@ def _padded(lists: list, width: int) -> np.ndarray:
 
 
 def _have_candidates(least: float):
-    """gid, rep, side of the rows that have a candidate in their block."""
+    """The rows that have a candidate in their block."""
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_blocks(parts):
@@ -200,7 +200,7 @@ def _have_candidates(least: float):
             starts = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
             sizes = np.diff(np.append(starts, len(gid)))
             lists = rows["sketch"].tolist()
-            short = (sizes <= SHORT) & ~rows["cross"].to_numpy()[starts]
+            short = (sizes <= SHORT) & ~rows["hot"].to_numpy()[starts]
             keep = []
             if short.any():
                 keep.append(_small(rows, _padded(lists, SKETCH), _padded(rows["keys"].tolist(), KEYS), starts[short], sizes[short], least))
@@ -208,7 +208,7 @@ def _have_candidates(least: float):
                 i, j = _candidates(rows.iloc[s : s + n], [np.asarray(x) for x in lists[s : s + n]], least)
                 keep.append(np.unique(np.concatenate([i, j])) + s)
             at = np.concatenate(keep).astype(np.int64) if keep else np.zeros(0, np.int64)
-            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "cross", "keys"]]
+            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "visits", "keys"]]
 
     return task
 
@@ -265,13 +265,55 @@ def _links_in_blocks(least: float, num: int, den: int):
     return task
 
 
+def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """lists with the label of each member's component."""
+    return lists.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """Components as links to their least member."""
+    return found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
+def _more_stars(lists: DataFrame) -> DataFrame:
+    """a, b: the members of hot lists with two more hubs of other components."""
+    hot = lists.where(F.col("members") > HOT)
+    main = hot.groupBy("v").agg(F.min_by("label", "rep").alias("main"))
+    hot = hot.join(main, "v")
+    inside = F.max(F.when(F.col("label") == F.col("main"), F.col("rep"))).alias("inside")
+    outside = F.min(F.when(F.col("label") != F.col("main"), F.struct("rep", "label"))).alias("outside")
+    hot = hot.join(hot.groupBy("v").agg(inside, outside), "v")
+    one = hot.where("label <> main").select("rep", F.col("inside").alias("hub"))
+    two = hot.where("label <> outside.label").select("rep", F.col("outside.rep").alias("hub"))
+    both = one.unionAll(two).where("hub is not null")
+    return both.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def _blocks(open_: DataFrame, least: float) -> DataFrame:
+    """gid, v, rep, n, label, side, visits, hot: the rows of each block in which members of a list are compared.
+
+    A list that is not hot is a block. A hot one is cut into bands by set size: a band's members (side 0) meet each other
+    and those of the band above (side 1). A band is dealt into blocks; the members of its commonest component stay at
+    home, all others also visit every other block. So of two members of different components one visits the other.
+    """
+    small = open_.where(F.col("members") <= HOT).select("v", "rep", "n", "label", F.lit(0).alias("band"), F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit(False).alias("visits"), F.lit(False).alias("hot"))
+    band = F.floor(F.ln("n") / F.lit(math.log(1 / least))).cast("int")
+    hot = open_.where(F.col("members") > HOT).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("side"))
+    counts = hot.groupBy("v", "band", "label").agg(F.count("*").alias("c"), F.min("side").alias("has"))
+    size = counts.groupBy("v", "band").agg(F.ceil(F.sum("c") / HOT).cast("int").alias("blocks"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("has").alias("has"), F.count("*").alias("labels"))
+    dealt = hot.join(size.where("has = 0 and labels > 1"), ["v", "band"]).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    places = F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("at", F.explode(places)).select("v", "rep", "n", "label", "band", "side", "at", (F.col("at") != F.col("home")).alias("visits"), F.lit(True).alias("hot"))
+    return small.unionByName(dealt).withColumn("gid", F.xxhash64("v", "band", "at", "hot")).drop("band", "at")
+
+
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept: documents whose sets have den * intersection >= num * union are linked."""
     least = num / den
     rows = saved(spark, sketches(spark, docs, words), "sketches")
     known = rows.where("doc_id is not null and n > 0")
     reps = saved(spark, known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    values = reps.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
+    values = reps.select("rep", "n", F.least(F.size("sketch"), F.lit(KEYS)).alias("own"), F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1")
     lists = saved(spark, values.join(counts, "v"), "lists")
 
@@ -280,44 +322,28 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
     ends = stars.select(F.col("a").alias("rep")).unionAll(stars.select(F.col("b").alias("rep")))
     first = _confirmed(spark, stars, _sets(spark, docs, ends, reps, words), num, den)
 
-    label = components(spark, first)
-    cold = lists.groupBy("rep").agg(F.sum((F.col("members") <= HOT).cast("int")).alias("cold"))
+    found = components(spark, first)
+    if not lists.where(F.col("members") > HOT).isEmpty():
+        more = saved(spark, _estimated(_more_stars(_labelled(lists, found)), reps, least), "stars")
+        ends = more.select(F.col("a").alias("rep")).unionAll(more.select(F.col("b").alias("rep")))
+        found = components(spark, _edges(found).unionAll(_confirmed(spark, more, _sets(spark, docs, ends, reps, words), num, den)))
+
     # keys that no other class has are not hot either
-    alone = reps.select("rep", F.least(F.size("sketch"), F.lit(KEYS)).alias("keys")).join(lists.groupBy("rep").agg(F.count("*").alias("listed")), "rep")
-    bare = alone.join(cold, "rep").select("rep", (F.col("keys") - F.col("listed") + F.col("cold")).alias("not_hot"))
-    open_ = lists.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component", "hub")
-    open_ = open_.join(bare, "rep").where((F.col("members") <= HOT) | (F.col("not_hot") <= MISSES))
+    bare = lists.groupBy("rep").agg((F.first("own") - F.count("*") + F.sum((F.col("members") <= HOT).cast("int"))).alias("not_hot"))
+    open_ = _labelled(lists, found).drop("hub", "own").join(bare, "rep").where((F.col("members") <= HOT) | (F.col("not_hot") <= MISSES))
     mixed = open_.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    open_ = open_.join(mixed, "v")
-    # a hot list by size: a set meets those of its own band and of the band above
-    band = F.when(F.col("members") <= HOT, 0).otherwise(F.floor(F.ln("n") / F.lit(math.log(1 / least)))).cast("int")
-    open_ = saved(spark, open_.withColumn("band", band), "open")
-    small = open_.where(F.col("members") <= HOT).select("rep", "n", "label", "v", "band", F.lit(0).alias("side"), F.lit(False).alias("cross"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    hot = open_.where(F.col("members") > HOT)
-    sides = hot.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("side"))
-    size = sides.groupBy("v", "band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.min("side").alias("has"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("has = 0 and lo < hi")
-    dealt = sides.join(size, ["v", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # hosts meet hosts of their own and later blocks, and guests of all blocks
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    host_guest = dealt.where("side = 0").select("rep", "n", "label", "v", "band", "side", F.lit(True).alias("cross"), F.col("own").alias("i"), (F.col("other") + F.col("blocks")).alias("j"))
-    guests = dealt.where("side = 1").select("rep", "n", "label", "v", "band", "side", F.lit(True).alias("cross"), F.col("other").alias("i"), (F.col("own") + F.col("blocks")).alias("j"))
-    hosts = dealt.where("side = 0 and own = other").select("rep", "n", "label", "v", "band", "side", F.lit(False).alias("cross"), F.col("own").alias("i"), F.col("own").alias("j"))
-    left = dealt.where("side = 0 and own < other").select("rep", "n", "label", "v", "band", F.lit(0).alias("side"), F.lit(True).alias("cross"), F.col("own").alias("i"), F.col("other").alias("j"))
-    right = dealt.where("side = 0 and own > other").select("rep", "n", "label", "v", "band", F.lit(1).alias("side"), F.lit(True).alias("cross"), F.col("other").alias("i"), F.col("own").alias("j"))
-    blocks = small
-    for part in (host_guest, guests, hosts, left, right):
-        blocks = blocks.unionByName(part)
-    blocks = blocks.withColumn("gid", F.xxhash64("v", "band", "i", "j")).select("gid", "v", "rep", "n", "label", "side", "cross")
+    open_ = saved(spark, open_.join(mixed, "v"), "open")
+    blocks = _blocks(open_, least)
     # the lists that a class is compared in: a pair is met in the smallest of those that both are in
     keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("v")).alias("keys"))
     dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
-    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, cross boolean, keys array<long>"), "met")
+    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, keys array<long>"), "met")
     sets = _sets(spark, docs, met.select("rep"), reps, words)
     small_batches(spark, 256)
     full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")
 
-    final = saved(spark, components(spark, first.unionAll(second).distinct()), "components")
+    final = saved(spark, components(spark, _edges(found).unionAll(second)), "components")
     classes = reps.select("key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(classes, "key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
