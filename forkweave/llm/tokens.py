@@ -63,7 +63,7 @@ class ChunkEncoder:
     word ends drops white space and lower-cases. Texts beyond Latin-1 or with unusual white space are split by patterns.
     """
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -154,8 +154,8 @@ class ChunkEncoder:
         self.runs.update(zip(whole, self._ids(whole), strict=True))
         for i, chunks in zip(rest, odd, strict=True):
             out[i] = b"".join(map(self.runs.__getitem__, chunks))
-        if len(self.runs) > 400_000:  # the first ones seen are the commonest
-            self.runs = dict(islice(self.runs.items(), 200_000))
+        if len(self.runs) > 150_000:  # the first ones seen are the commonest
+            self.runs = dict(islice(self.runs.items(), 75_000))
         if len(self.words.keys) > self.keep:
             self.words = Table(self.dtype)
         return out
