@@ -1,9 +1,11 @@
 """PII: information-theoretic sanitisation. DataFrame functions only.
 
-Base spans (email, ip, card, phone) are found by patterns and are the protected entities. Each entity's context is the
-words within 80 characters of it. A term of letters that stands in the contexts of an entity in at least `support`
-different texts is weighed against the whole corpus: its pointwise mutual information with the entity, from the number
-of different texts that hold it anywhere, over the entity's own information. That share is what the term discloses.
+Base spans (email, ip, card, phone) are found by patterns and are the protected entities, one however it is written:
+cards and phones count by their digits. Each entity's context is the words within 80 characters of it. A term of letters
+in the context of an entity is weighed against the whole corpus: its pointwise mutual information with the entity, from
+the number of different texts that hold it anywhere, over the entity's own information. That share is what the term
+discloses. Where fewer than `support` different texts show both, the chance of the entity given the term is smoothed by
+one more text that holds the term and the entity as often as any text does; so a term is weighed from one text on.
 From `generalise` on, the term is a span too and becomes a placeholder wherever it occurs; from `remove` on, it goes.
 
 Offsets come from the lengths of what lies between matches (split) and of the matches (extract), so no Python runs.
@@ -33,6 +35,8 @@ PATTERNS = (
 CONTEXT = 80
 #: Broadcast tables up to this many rows; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: The same for disclosing terms.
+BROADCAST_TERMS = 200_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -92,8 +96,13 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
 
 
-def disclosing(spark: SparkSession, marked: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """Terms that disclose entities (term, share, gone), and the texts that hold them (pii_key, term). marked: of found()."""
+def normal(kind: Column, value: Column) -> Column:
+    """An entity's value without what its writing adds: digits of cards and phones, bytes of ips without leading zeros, small letters."""
+    return F.when(kind >= 2, F.regexp_replace(value, "[^0-9]", "")).when(kind == 1, F.regexp_replace(value, "(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower(value))
+
+
+def disclosing(spark: SparkSession, marked: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+    """Terms that disclose entities: term, share, gone. marked: of found()."""
     own = marked.where(F.size("pii_base") > 0).select("pii_key", "pii_text", F.explode("pii_base").alias("s"))
     left = F.greatest(F.lit(0).cast("long"), F.col("s.start") - CONTEXT)
     before = F.substring(F.col("pii_text"), (left + 1).cast("int"), (F.col("s.start") - left).cast("int"))
@@ -101,42 +110,47 @@ def disclosing(spark: SparkSession, marked: DataFrame, support: int = 3, general
     # a word cut by the edge of the context is no term
     before = F.when(left > 0, F.regexp_replace(before, r"^[\p{L}]+", "")).otherwise(before)
     after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"[\p{L}]+$", "")).otherwise(after)
-    entity = F.concat_ws(":", F.col("s.kind"), F.lower("s.value"))
+    entity = F.concat_ws(":", F.col("s.kind"), normal(F.col("s.kind"), F.col("s.value")))
     seen = own.select("pii_key", entity.alias("entity"), F.explode(F.array_distinct(_terms(F.concat_ws("\n", before, after)))).alias("term")).distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = own.select("pii_key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
-    pairs = saved(spark, pairs.join(entities, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
-    # where candidate terms occur: every word of every text is looked up
-    words = marked.select("pii_key", F.explode(_terms(F.col("pii_text"))).alias("term"))
-    held = saved(spark, words.join(_bounded(wanted), "term", "left_semi").distinct(), "held")
-    total = marked.select("pii_key").distinct().count()
-    spread = held.groupBy("term").agg(F.count("*").alias("with_term"))
-    own_bits = F.ln(F.lit(float(max(total, 2))) / F.col("with_entity"))
-    bits = F.ln(F.col("both") * F.lit(float(max(total, 2))) / (F.col("with_term") * F.col("with_entity")))
-    share = pairs.join(spread, "term").where(own_bits > 0).groupBy("term").agg(F.max(bits / own_bits).alias("share"))
-    risky = saved(spark, share.where(F.col("share") >= generalise).withColumn("gone", F.col("share") >= remove), "risky")
-    return risky, held.join(risky, "term")
-
-
-def term_spans(spark: SparkSession, marked: DataFrame, holding: DataFrame) -> DataFrame:
-    """pii_key, pii_terms: the term spans of each different text that holds disclosing terms."""
-    per = holding.groupBy("pii_key").agg(F.array_sort(F.collect_set(F.struct("term", "gone"))).alias("terms"))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    texts = marked.select("pii_key", "pii_text", "pii_base").join(_bounded(per), "pii_key").dropDuplicates(["pii_key"])
-    texts = texts.withColumn("pattern", pattern).withColumn("hits", _matches(F.col("pii_text"), F.col("pattern"), 4))
-    clear = F.filter("hits", lambda h: ~F.exists("pii_base", lambda b: (h["start"] < b["end"]) & (b["start"] < h["end"])))
-    gone = lambda h: F.exists("terms", lambda t: (t["term"] == F.lower(h["value"])) & t["gone"])
-    return texts.select("pii_key", F.transform(clear, lambda h: F.struct(h["start"].alias("start"), h["kind"].alias("kind"), h["end"].alias("end"), F.when(gone(h), "").otherwise(h["value"]).alias("value"))).alias("pii_terms"))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"))
+    entities = own.select("pii_key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # rows with equal texts share one count among them, so that a term is counted once for each different text
+    keys = marked.groupBy("pii_key").agg(F.count("*").alias("copies"))
+    total = keys.count()
+    copies = saved(spark, keys.where("copies > 1"), "copies")
+    weighed = marked.select("pii_key", "pii_text").join(_bounded(copies), "pii_key", "left").withColumn("part", 1.0 / F.coalesce("copies", F.lit(1)))
+    words = weighed.select("pii_key", "part", F.explode(F.array_distinct(_terms(F.col("pii_text")))).alias("term"))
+    spread = words.groupBy("term").agg(F.round(F.sum("part")).alias("with_term"))
+    n = F.lit(float(max(total, 2)))
+    own_bits = F.ln(n / F.col("with_entity"))
+    given = F.when(F.col("both") >= support, F.col("both") / F.col("with_term")).otherwise((F.col("both") + F.col("with_entity") / n) / (F.col("with_term") + 1))
+    bits = F.ln(given * n / F.col("with_entity"))
+    share = pairs.join(entities, "entity").join(spread, "term").where(own_bits > 0).groupBy("term").agg(F.max(bits / own_bits).alias("share"))
+    return saved(spark, share.where(F.col("share") >= generalise).withColumn("gone", F.col("share") >= remove), "risky")
+
+
+def term_spans(marked: DataFrame, risky: DataFrame) -> DataFrame:
+    """pii_key, pii_terms: the term spans of each different text that holds disclosing terms. marked: of found()."""
+    words = marked.select("pii_key", "pii_text", F.explode(F.array_distinct(_terms(F.col("pii_text")))).alias("term"))
+    if risky.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # every word of every text is looked up where the text lies, so that only hits are shuffled
+        holding = words.join(F.broadcast(risky), "term")
+    else:
+        holding = words.select("pii_key", "term").join(risky, "term").distinct()
+        holding = marked.select("pii_key", "pii_text").dropDuplicates(["pii_key"]).join(holding, "pii_key")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("term"), F.lit(r")(?!\p{L})"))
+    value = lambda h: F.when(F.col("gone"), "").otherwise(h["value"]).alias("value")
+    hits = F.transform(_matches(F.col("pii_text"), pattern, 4), lambda h: F.struct(h["start"].alias("start"), h["kind"].alias("kind"), h["end"].alias("end"), value(h)))
+    return holding.select("pii_key", hits.alias("hits")).groupBy("pii_key").agg(F.flatten(F.collect_set("hits")).alias("pii_terms"))
 
 
 def spans(spark: SparkSession, docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """docs with pii_base and pii_spans (base and term spans, by start, then kind)."""
     marked = found(docs) if marked is None else marked
-    _, holding = disclosing(spark, marked)
-    terms = saved(spark, term_spans(spark, marked, holding), "term-spans")
+    terms = saved(spark, term_spans(marked, disclosing(spark, marked)), "term-spans")
     out = marked.join(_bounded(terms), "pii_key", "left")
-    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.coalesce("pii_terms", F.array().cast(SPAN))))).drop("pii_terms")
+    clear = F.filter("pii_terms", lambda h: ~F.exists("pii_base", lambda b: (h["start"] < b["end"]) & (b["start"] < h["end"])))
+    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.coalesce(clear, F.array().cast(SPAN))))).drop("pii_terms")
 
 
 def listed(spans: str) -> Column:

@@ -41,6 +41,19 @@ def test_terms_that_disclose(spark):
     assert pii.spans(spark, df.limit(0)).count() == 0
 
 
+def test_rare_entities_and_writings(spark, monkeypatch):
+    rows = [(0, "Quillon can be called at +1 (386) 555-3733 about the plan"), (1, "call +1 386 555 3733 or the plan of Quillon"), (2, "Vexatrix had 4111 1111 1111 1111 for the plan")]
+    rows += [(10 + i, f"nothing had or can be called or call about the plan at {chr(97 + i % 26)}{chr(97 + i // 26)} for of") for i in range(60)]
+    df = spark.createDataFrame(rows + rows[2:3] * 3, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
+    assert got[0].startswith("term:0:7,phone:") and got[1].endswith(",term:36:43") and got[2] == "term:0:8,card:13:32" and got[10] == ""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert got == {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
+    values = [(2, "4111-1111 11"), (3, "+1 (386) 5"), (1, "001.0.20.000"), (0, "A@B.c")]
+    norm = spark.createDataFrame(values, "k int, v string").select(pii.normal(F.col("k"), F.col("v"))).collect()
+    assert [r[0] for r in norm] == ["4111111111", "13865", "1.0.20.0", "a@b.c"]
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     plan = pii.spans(spark, df)._jdf.queryExecution().executedPlan().toString()
