@@ -1,6 +1,8 @@
 """Packing documents into sequences by lexical retrieval.
 
-Documents are dealt by hash into shards of bounded size. In each shard a BM25 inverted index over token ids returns,
+Documents that share rare words are dealt into one shard, of bounded size: they are ordered by a sketch, the word of the
+least hash among their rare ones, then a second such word, then their own hash, which also parts what a sketch has too
+much of, and cut into ranges. The frequent words come from a sample; they steer the order alone. In each shard a BM25 inverted index over token ids returns,
 for each seed document, its neighbours by score; those not used yet fill the seed's window greedily. Full windows of
 a long document come first; its tail seeds or fills. A window that no whole neighbour fits is filled by a cut of the
 best one, whose rest stays in play, so that only the last window of a shard has padding.
@@ -13,12 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quantile_bounds, range_bucket
 from .tokens import ChunkEncoder
 
 SHARD_DOCS = 512
+WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Bits of the order's first word, second word and document; together exact in a double, as quantiles are.
+BITS = (22, 11, 20)
+#: A word in more than this share of the sampled texts is no rare one.
+FREQUENT = 0.01
 
 
 class Bm25:
@@ -88,11 +96,45 @@ def fill(lengths: list[int], neighbours, window: int) -> list[list[tuple[int, in
     return out
 
 
+def _sample(docs: DataFrame, part: float) -> DataFrame:
+    return docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+
+
+def frequent_words(docs: DataFrame, total: int, most: int = 20_000) -> list[int]:
+    """Hashes of the words in more than FREQUENT of a sample of about `most` texts, at most `most` words."""
+    part = min(1.0, most / max(1, total))
+    counts = _sample(docs, part).select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    least = max(2.0, FREQUENT * part * total)
+    return [r.w for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def with_shard(docs: DataFrame, shard_docs: int = SHARD_DOCS, most: int = 20_000) -> DataFrame:
+    """doc_id, text (never null) and shard: documents with the same sketch lie in one shard or in neighbouring ones."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    total = docs.count()
+    frequent = F.array(*[F.lit(w) for w in frequent_words(docs, total, most)]).cast("array<bigint>")
+    # columns of their own, so that Spark makes each once
+    keyed = docs.withColumn("words", F.array_distinct(_words(F.col("text")))).withColumn("rare", F.array_except("words", frequent))
+    keyed = keyed.withColumn("rare", F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.col("words")))
+    least = lambda seed: F.array_min(F.transform("rare", lambda w: F.xxhash64(w, F.lit(seed))))
+    # hashed again, as the least hash is small where a text is long: long texts shall not meet in one shard
+    cut = lambda h, bits: F.shiftrightunsigned(F.xxhash64(h), 64 - bits)
+    first, second, own = BITS
+    order = F.shiftleft(cut(least(1), first), second + own) + F.shiftleft(cut(least(2), second), own) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - own)
+    keyed = keyed.withColumn("order", order).drop("words", "rare")
+    # a quarter of many documents places the bounds well enough: about 128 for each shard
+    bounds = quantile_bounds(_sample(keyed, max(0.25, min(1.0, most / max(1, total)))), "order", -(-total // shard_docs))
+    keyed = keyed.withColumn("shard", range_bucket(F.col("order"), bounds).cast("long"))
+    return keyed.drop("order")
+
+
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, padded_to, ids (little-endian unsigned 32-bit)."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long"))
+    keyed = with_shard(docs, shard_docs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = ChunkEncoder.of(tokenizer_path)

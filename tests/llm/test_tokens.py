@@ -79,6 +79,19 @@ def test_packing_keeps_each_id_once(spark):
     assert packing.pack(spark, df.limit(0), path).count() == 0
 
 
+def test_near_copies_share_a_shard_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    own = [[f"w{x}" for x in rng.integers(0, 10**6, 20)] for _ in range(400)]
+    text = lambda i, w: " ".join(["the of and"] * 5 + w + [f"x{i}"])
+    rows = [(i + 1000 * c, text(i + 1000 * c, own[i])) for i in range(400) for c in (0, 1)]
+    rows += [(5000 + i, "the same text") for i in range(200)]  # a sketch with more documents than a shard takes
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(spark, df, tokenizer("byte_bpe_50k.json"), 0, 64, shard_docs=20).collect()}
+    sizes = np.bincount(list(shard.values()))
+    assert len(shard) == 1000 and sizes.max() <= 40 and np.count_nonzero(sizes) >= 40
+    assert sum(shard[i] == shard[1000 + i] for i in range(400)) > 300  # hashed ids: about 8
+
+
 def test_neighbours_match_brute_force():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 30, n).astype(np.uint32) for n in (5, 9, 14, 3, 8)]
