@@ -8,8 +8,9 @@ A file holds blocks: magic, documents, control bytes, data bytes (u4 each), then
 counts of ids (u4), control bytes, data bytes. Each document starts a control byte of its own; unused slots hold
 rank 0. Files are named by ascending range of doc_id and sorted within; equal doc_ids are ordered by their ids.
 
-Defined results: a null text counts as empty (the end id alone); null doc_ids come first; repeated rows are kept;
-an empty table gives no files and no rows; further columns are not read.
+Defined results: a null text counts as empty (the end id alone); null doc_ids come first; ids of any 64 bits are kept
+as they are; repeated rows are kept; a text of any length is one document of one block; an empty table gives no files
+and no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, quantile_bounds, range_bucket, removed, saved, small_batches
+from .common import bounded_batches, flagged, fresh_dir, quantile_bounds, range_bucket, saved, scratch
 from .tokens import ChunkEncoder
 
 MAGIC = 0x31425653
@@ -72,16 +73,16 @@ def _open(path: str, write: bool = False):
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids (packed 16- or 32-bit) of each whole text with the end id."""
+    """doc_id, no_doc_id (it is null), n, ids (packed 16- or 32-bit) of each whole text with the end id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = ChunkEncoder.of(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             ids = [x + end for x in enc.encode(b["text"].tolist())]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) // enc.dtype.itemsize for x in ids], "ids": ids})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "no_doc_id": b["no_doc_id"], "n": [len(x) // enc.dtype.itemsize for x in ids], "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n long, ids binary")
+    return docs.select(*flagged("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, no_doc_id boolean, n long, ids binary")
 
 
 def _wide(spark: SparkSession, path: str) -> np.dtype:
@@ -90,10 +91,14 @@ def _wide(spark: SparkSession, path: str) -> np.dtype:
 
 def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, docs_per_file: int = 1000, max_files: int = 20_000) -> DataFrame:
     """Writes the files to out_dir; returns one row per file: bucket, path, n_docs, n_ids, and the ranks file's path."""
-    small_batches(spark)
-    kept: list[str] = []
+    bounded_batches(spark)
+    with scratch(spark):
+        return _write(spark, docs, out_dir, tokenizer_path, end_id, docs_per_file, max_files)
+
+
+def _write(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, docs_per_file: int, max_files: int) -> DataFrame:
     dtype = _wide(spark, tokenizer_path)
-    toks = saved(spark, tokenized(docs, tokenizer_path, end_id), "tokens", kept)
+    toks = saved(spark, tokenized(docs, tokenizer_path, end_id), "tokens")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
@@ -115,7 +120,8 @@ def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_p
         f.write(order.astype("<u4").tobytes())
 
     n_docs = toks.count()
-    bounds = quantile_bounds(toks, "doc_id", min(max_files, -(-n_docs // docs_per_file)))
+    toks = toks.withColumn("at", F.when(~F.col("no_doc_id"), F.col("doc_id")))
+    bounds = quantile_bounds(toks, "at", min(max_files, -(-n_docs // docs_per_file)))
     ranks = spark.sparkContext.broadcast(rank_of)  # bounded by the vocabulary
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +129,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_p
             if not len(b):
                 continue
             parts = pack(ranks.value[np.frombuffer(b"".join(b["ids"]), dtype)], b["n"].to_numpy(np.int64))
-            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"], "n": b["n"], "control": [c for c, _ in parts], "data": [d for _, d in parts]})
+            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"], "no_doc_id": b["no_doc_id"], "n": b["n"], "control": [c for c, _ in parts], "data": [d for _, d in parts]})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sink, name, bucket, docs_in, ids_in, held, held_ids = None, "", None, 0, 0, [], 0
@@ -132,8 +138,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_p
             nonlocal held, held_ids
             if held:
                 control, data = b"".join(x[3] for x in held), b"".join(x[4] for x in held)
-                null = np.array([x[0] is None for x in held], np.uint8)
-                sink.write(np.array([MAGIC, len(held), len(control), len(data)], "<u4").tobytes() + np.array([x[0] or 0 for x in held], "<i8").tobytes() + null.tobytes() + np.array([x[2] for x in held], "<u4").tobytes())
+                sink.write(np.array([MAGIC, len(held), len(control), len(data)], "<u4").tobytes() + np.array([x[0] for x in held], "<i8").tobytes() + np.array([x[1] for x in held], np.uint8).tobytes() + np.array([x[2] for x in held], "<u4").tobytes())
                 sink.write(control)
                 sink.write(data)
             held, held_ids = [], 0
@@ -149,32 +154,28 @@ def write_corpus(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_p
         tmp = f".{uuid.uuid4().hex}"
         system, _ = _open(out_dir)
         for b in batches:
-            ids = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
-            for bk, doc, n, c, d in zip(b["bucket"].tolist(), ids, b["n"].tolist(), b["control"], b["data"], strict=True):
+            for bk, doc, null, n, c, d in zip(b["bucket"].tolist(), b["doc_id"].tolist(), b["no_doc_id"].tolist(), b["n"].tolist(), b["control"], b["data"], strict=True):
                 if bk != bucket:
                     if sink is not None:
                         yield close()
                     bucket, docs_in, ids_in = bk, 0, 0
                     name = _open(f"{out_dir}/part-{bk:08d}.svb")[1]
                     sink = system.open_output_stream(name + tmp)
-                held.append((doc, bk, n, c, d))
+                held.append((doc, null, n, c, d))
                 held_ids, docs_in, ids_in = held_ids + n, docs_in + 1, ids_in + n
                 if held_ids >= BLOCK_IDS:
                     flush()
         if sink is not None:
             yield close()
 
-    coded = toks.withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).mapInPandas(code, "bucket int, doc_id long, n long, control binary, data binary")
-    files = coded.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "control", "data").mapInPandas(write, "bucket int, path string, n_docs long, n_ids long")
-    done = saved(spark, files, "files")
-    for x in kept:
-        removed(spark, x)
-    return done
+    coded = toks.withColumn("bucket", range_bucket(F.col("at"), bounds)).drop("at").mapInPandas(code, "bucket int, doc_id long, no_doc_id boolean, n long, control binary, data binary")
+    files = coded.repartition("bucket").sortWithinPartitions("bucket", F.desc("no_doc_id"), "doc_id", "control", "data").mapInPandas(write, "bucket int, path string, n_docs long, n_ids long")
+    return saved(spark, files, "files", lasting=True)
 
 
 def read_corpus(spark: SparkSession, files: DataFrame, out_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document, decoded from the files."""
-    small_batches(spark)
+    bounded_batches(spark)
     order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     starts = files.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. It goes with the application, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, and it survives lost executors."""
+#: Paths that the innermost scratch() removes, then those of the one around it.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what saved() wrote inside; a lasting table goes with the scratch() around this one, if any."""
+    paths: list[str] = []
+    token = _written.set((paths, *_written.get()))
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def saved(spark: SparkSession, df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut, and it survives lost executors.
+
+    Inside scratch() the table goes at the end, unless it is lasting: what a returned plan reads must last.
+    """
     path = fresh_dir(spark, name)
+    for paths in _written.get()[int(lasting) :][:1]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    if parts is not None:
-        parts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,9 +73,22 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows in each Arrow batch: a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch between Spark and Python: a batch of long texts stays small.
+BATCH_BYTES = 2 << 20
+_MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """The one setting that operators make, alike for all: a lazy plan reads it when it runs, so it stays."""
+    spark.conf.set(_MOST_BYTES, str(BATCH_BYTES))
+
+
+def flagged(*names: str) -> list[Column]:
+    """Nullable long columns as a number (null: 0) and a mark no_<name>, both never null.
+
+    A nullable long column reaches pandas as floats, which hold no id beyond 2^53.
+    """
+    return [c for n in names for c in (F.coalesce(F.col(n).cast("long"), F.lit(0).cast("long")).alias(n), F.col(n).cast("long").isNull().alias(f"no_{n}"))]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches
+from .common import bounded_batches
 from .textnum import batches
 
 
@@ -33,7 +33,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
 
 def scored(spark: SparkSession, docs: DataFrame, score: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """docs with a double column score of each whole text; other columns pass as they are."""
-    small_batches(spark)
+    bounded_batches(spark)
     docs = docs.drop("score")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import saved, bounded_batches
 from .components import components, forest
 from .textnum import Words, batches
 
@@ -51,7 +51,7 @@ def _key(s: np.ndarray) -> bytes:
 
 def sketches(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
     """doc_id, h (the text's hash), n (set size), key (of the set), sketch (its smallest hashes, ascending)."""
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
@@ -339,7 +339,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
     dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, keys array<long>"), "met")
     sets = _sets(spark, docs, met.select("rep"), reps, words)
-    small_batches(spark, 256)
+    bounded_batches(spark)
     full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import small_batches
+from .common import bounded_batches
 from .learn import fold, labelled, scored
 from .textnum import Words, batches
 
@@ -81,7 +81,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST) -> gbt.Trees:
     """Trees from the labelled sample; its statistics (at most `most` rows) come to the driver."""
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:

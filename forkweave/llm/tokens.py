@@ -15,42 +15,69 @@ SAME = np.arange(256, dtype=np.uint8)
 #: White space of four kinds and the other characters behind it.
 _PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space of any kind that is none of these four; texts that hold it are encoded whole.
-_OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85᠎​﻿]")
+_OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _LATIN_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: In Latin-1: a run of letters, or of others; letters behind an apostrophe stay with it (contractions).
 _RUNS = rf"(?:[{_L}]+|[^{_L} \n\t\r]+(?:(?<=')[{_L}]+)?)"
 _BARE = re.compile(_RUNS)
 _SPACED = re.compile(rf"[ \n\t\r]*{_RUNS}|[ \n\t\r]+")
-#: Byte-level vocabularies write a byte as the character of that number if it is printable, else from 256 on in order.
-_HIDDEN = [*range(33), *range(127, 161), 173]
-_BYTE_CHARS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 _KEPT: dict[str, ChunkEncoder] = {}
 
 
 class Table:
-    """Ids of words by 64-bit hash: sorted keys, and where in a pool of ids each word's are."""
-
-    def __init__(self, dtype: np.dtype):
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+    """Ids of words by 64-bit hash: open addressing, looked up for many words at once; where in a pool of ids each word's are."""
+
+    def __init__(self, dtype: np.dtype, keep: int):
+        self.keep, bits = keep, max(8, (2 * keep - 1).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 16, dtype), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it is not there."""
+        slot = (h >> self.shift).astype(np.int64)
+        out = np.full(len(h), -1)
+        key = self.keys[slot]
+        hit = key == h
+        out[hit] = slot[hit]
+        rest = np.flatnonzero(~hit & (key != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.last
+            key = self.keys[slot[rest]]
+            hit = key == h[rest]
+            out[rest[hit]] = slot[rest[hit]]
+            rest = rest[~hit & (key != 0)]
+        return out
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ascending hashes, and which are there."""
-        place = np.searchsorted(self.keys, h)
-        there = np.zeros(len(h), bool)
-        if len(self.keys):
-            there = self.keys[np.minimum(place, len(self.keys) - 1)] == h
-        return place, there
+    def halve(self) -> None:
+        """Drops the words learnt in the later half: the first ones seen are the commonest."""
+        kept = np.flatnonzero((self.keys != 0) & (self.at < self.used // 2))
+        keys, at, n = self.keys[kept], self.at[kept], self.n[kept]
+        self.keys[:] = 0
+        self._put(keys, at, n)
+        self.used, self.words = int((at + n).max(initial=0)), len(kept)
 
-    def add(self, place: np.ndarray, h: np.ndarray, ids: list[bytes]) -> None:
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New, different hashes and their ids; there must be room for them."""
         new = np.frombuffer(b"".join(ids), self.pool.dtype)
         n = np.array([len(x) for x in ids], np.int64) // self.pool.dtype.itemsize
         if self.used + len(new) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(new), self.pool.dtype)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(new), self.pool.dtype)])
         self.pool[self.used : self.used + len(new)] = new
-        self.keys, self.at, self.n = np.insert(self.keys, place, h), np.insert(self.at, place, self.used + np.cumsum(n) - n), np.insert(self.n, place, n)
-        self.used += len(new)
+        self._put(h, self.used + np.cumsum(n) - n, n)
+        self.used, self.words = self.used + len(new), self.words + len(h)
+
+    def _put(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        slot, rest = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(rest):
+            s = slot[rest]
+            free = self.keys[s] == 0
+            self.keys[s[free]] = h[rest[free]]  # of several the last one stays
+            mine = self.keys[s] == h[rest]
+            self.at[s[mine]], self.n[s[mine]] = at[rest[mine]], n[rest[mine]]
+            rest = rest[~mine]
+            slot[rest] = (slot[rest] + 1) & self.last
 
 
 class ChunkEncoder:
@@ -59,8 +86,10 @@ class ChunkEncoder:
     The pre-tokenizers of the two kinds of vocabulary never join a character to white space behind it, nor letters to
     other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its words,
     with the white space before them, in order, and the ids of a word are those of its runs of letters and of others.
-    Most words repeat: they are found by hash, many at once, and only new runs reach the tokenizer. A vocabulary with
-    word ends drops white space and lower-cases. Texts beyond Latin-1 or with unusual white space are split by patterns.
+    Most words repeat: they are found by hash, many at once, and only new runs reach the tokenizer, many in one text
+    with a special token between them. A vocabulary with word ends drops white space and lower-cases. Texts beyond
+    Latin-1 or with unusual white space are split by patterns. A word is known by its 64-bit hash alone: of the `keep`
+    words that a worker holds at most, two share a hash with a chance below keep^2 / 2^65, 3e-8 at a million.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -68,11 +97,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tok.model)  # for what is one pre-token already
+        between = [(t.content, k) for k, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between, self.between_id = between[0] if between else ("", -1)
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.bare = getattr(self.tok.model, "end_of_word_suffix", None) is not None
-        self.keep, self.words, self.runs = keep, Table(self.dtype), {}
+        self.keep, self.words, self.runs = keep, Table(self.dtype, keep), {}
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -81,24 +111,34 @@ class ChunkEncoder:
             _KEPT[path] = cls(path)
         return _KEPT[path]
 
-    def _ids(self, texts: list[str], tok=None) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text by the tokenizer itself."""
         out: list[bytes] = []
         for i in range(0, len(texts), 2048):
-            ids = [e.ids for e in (tok or self.tok).encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
-            ends = list(accumulate(map(len, ids), initial=0))
-            raw, k = np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
-            out += [raw[k * s : k * e] for s, e in zip(ends, ends[1:], strict=False)]
+            some = texts[i : i + 2048]
+            out += self._joined(some) or self._each(some)
         return out
 
+    def _joined(self, texts: list[str]) -> list[bytes] | None:
+        """Ids of texts encoded as one, parted by a special token; None if that token stands in a text."""
+        if not self.between or any(self.between in x for x in texts):
+            return None
+        ids = np.array(self.tok.encode_batch_fast([self.between.join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
+        if len(ends) != len(texts):
+            return None
+        raw, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [raw[k * s : k * e] for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(accumulate(map(len, ids), initial=0))
+        raw, k = np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
+        return [raw[k * s : k * e] for s, e in zip(ends, ends[1:], strict=False)]
+
     def _learn(self, runs: set[str]) -> None:
-        """Ids of new runs. A run of letters, with one space before it or none, is one pre-token: the model alone will do."""
-        one, more = [], []
-        for x in runs.difference(self.runs):
-            (one if (x[1:] if x[0] == " " else x).isalpha() else more).append(x)
-        self.runs.update(zip(more, self._ids(more), strict=True))
-        plain = [("Ġ" + x[1:] if x[0] == " " else x) if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_CHARS) for x in one]
-        self.runs.update(zip(one, self._ids(plain, self.model), strict=True))
+        new = list(runs.difference(self.runs))
+        self.runs.update(zip(new, self._ids(new), strict=True))
 
     def _plain(self, t: str) -> bool:
         """Whether a text is in Latin-1 with plain white space, and single (for vocabularies that keep it)."""
@@ -110,6 +150,12 @@ class ChunkEncoder:
             return False
         return self.bare or not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[:1] in " \n" or t[-1:] in " \n")
 
+    def _missing(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash, and a place of each different one that is not there."""
+        slot = self.words.find(h)
+        new = np.flatnonzero(slot < 0)
+        return slot, new[np.unique(h[new], return_index=True)[1]]
+
     def _fast(self, texts: list[bytes]) -> list[bytes]:
         """The ids of plain texts."""
         w = Words(texts)
@@ -118,22 +164,27 @@ class ChunkEncoder:
             first = np.isin(w.start, w.doc_start)
             newline = ~first & (w.buf[w.start - 1] == 10)
             h = h ^ np.where(first, np.uint64(0x1F0E3DA5C7), np.where(newline, np.uint64(0x5AC7D3), np.uint64(0)))
-        keys, some, back = np.unique(h, return_index=True, return_inverse=True)
-        place, there = self.words.find(keys)
-        new = np.flatnonzero(~there)
-        if len(new):
+        h[h == 0] = 1  # 0 marks a free slot
+        slot, some = self._missing(h)
+        if self.words.words + len(some) > self.words.keep:
+            self.words.halve()
+            slot, some = self._missing(h)
+            if self.words.words + len(some) > self.words.keep:  # a text with more words than are kept
+                self.words = Table(self.dtype, max(self.keep, len(np.unique(h))))
+                slot, some = self._missing(h)
+        if len(some):
             raw = b"\n".join(texts)
-            fresh = [raw[s:e].decode() for s, e in zip(w.start[some[new]].tolist(), w.end[some[new]].tolist(), strict=True)]
+            fresh = [raw[s:e].decode() for s, e in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
             if self.bare:
                 split = [_BARE.findall(x.lower()) for x in fresh]
             else:
-                lead = np.where(first[some[new]], 0, np.where(newline[some[new]], 1, 2)).tolist()
+                lead = np.where(first[some], 0, np.where(newline[some], 1, 2)).tolist()
                 split = [_SPACED.findall(("", "\n", " ")[k] + x) for k, x in zip(lead, fresh, strict=True)]
             self._learn(set().union(*split))
-            get = self.runs.__getitem__
-            self.words.add(place[new], keys[new], [b"".join(map(get, x)) for x in split])
-            place, _ = self.words.find(keys)
-        at, n = self.words.at[place][back], self.words.n[place][back]
+            self.words.add(h[some], [b"".join(map(self.runs.__getitem__, x)) for x in split])
+            late = np.flatnonzero(slot < 0)
+            slot[late] = self.words.find(h[late])
+        at, n = self.words.at[slot].astype(np.int64), self.words.n[slot].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.words.pool[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         k = self.dtype.itemsize
@@ -156,6 +207,4 @@ class ChunkEncoder:
             out[i] = b"".join(map(self.runs.__getitem__, chunks))
         if len(self.runs) > 150_000:  # the first ones seen are the commonest
             self.runs = dict(islice(self.runs.items(), 75_000))
-        if len(self.words.keys) > self.keep:
-            self.words = Table(self.dtype)
         return out

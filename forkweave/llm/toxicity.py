@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import saved, small_batches
+from .common import saved, bounded_batches
 from .learn import labelled, scored
 from .textnum import LOWER, SPACE, Words, batches, mix
 
@@ -175,7 +175,7 @@ def lexicon(sample: DataFrame, size: int = 4000, least: int = 4) -> Lexicon:
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Model:
     """The model from the labelled sample; its features (at most `most` rows) come to the driver."""
-    small_batches(spark)
+    bounded_batches(spark)
     sample = saved(spark, labelled(docs, labels, label, most), "labelled")
     model = Model(lexicon(sample), None, None)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, removed, saved, small_batches
+from .common import fresh_dir, removed, saved, bounded_batches
 
 FAN_IN = 256
 SPARSE = 64
@@ -153,7 +153,7 @@ def decided(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def write_archives(spark: SparkSession, pages: DataFrame, out_dir: str, least: int = 100, stamp: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes archives and their sorted index runs; a row for each run: path, n, marks (JSON)."""
-    small_batches(spark)
+    bounded_batches(spark)
     rows = decided(pages, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,7 @@ def _frame(held: list[tuple]) -> pd.DataFrame:
 
 def read_records(spark: SparkSession, histories: DataFrame, out_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits): what the archives say."""
-    small_batches(spark)
+    bounded_batches(spark)
 
     def number(x: str) -> int | None:
         x = x.rpartition(":")[2].rstrip(">")

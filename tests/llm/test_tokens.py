@@ -1,6 +1,7 @@
 """Token output and packing, against the tokenizer itself and exact round trips."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -86,10 +87,57 @@ def test_near_copies_share_a_shard_at_any_size(spark):
     rows = [(i + 1000 * c, text(i + 1000 * c, own[i])) for i in range(400) for c in (0, 1)]
     rows += [(5000 + i, "the same text") for i in range(200)]  # a sketch with more documents than a shard takes
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(spark, df, tokenizer("byte_bpe_50k.json"), 0, 64, shard_docs=20).collect()}
-    sizes = np.bincount(list(shard.values()))
-    assert len(shard) == 1000 and sizes.max() <= 40 and np.count_nonzero(sizes) >= 40
-    assert sum(shard[i] == shard[1000 + i] for i in range(400)) > 300  # hashed ids: about 8
+    rest = packing.pack(spark, df, tokenizer("byte_bpe_50k.json"), 0, 64, shard_docs=20).where("start + length = doc_tokens")
+    shard = {r.doc_id: r.sequence_id // 20 for r in rest.collect() if r.sequence_id < 1 << 62}
+    sizes = Counter(shard.values())
+    assert len(shard) > 950 and max(sizes.values()) <= 20 and len(sizes) >= 48  # a few documents are full windows and nothing else
+    assert sum(i in shard and shard[i] == shard.get(1000 + i) for i in range(400)) > 280  # hashed ids: about 8
+
+
+def test_equal_rows_fill_many_shards(spark):
+    df = spark.createDataFrame([(7, "one and the same text")] * 3000, "doc_id long, text string").repartition(5)
+    rows = packing.pack(spark, df, tokenizer("byte_bpe_50k.json"), 0, 64, shard_docs=100).collect()
+    assert sum(r.length for r in rows if r.start == 0 and r.length == r.doc_tokens) <= 3000 * rows[0].doc_tokens == sum(r.length for r in rows)
+    assert max(Counter(r.sequence_id // 100 for r in rows).values()) <= 150 and len({r.sequence_id // 100 for r in rows}) >= 30
+
+
+def test_long_texts_leave_full_windows_and_keep_all_their_terms():
+    own = np.arange(50, dtype=np.uint16)
+    index = packing.Bm25([own[:3], own[10:14]], {0: (own[[0, 10, 11]], np.array([5, 1, 1]))}, np.ones(50), query_terms=10)
+    assert index.neighbours(1).tolist() == [1, 0] and sorted(index.terms[index.query[0]].tolist()) == [10, 11]
+
+
+def test_fill_against_brute_force():
+    """Every window but the last is full; a piece that ends its document follows the order of neighbours among those that fit."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        lengths = rng.integers(1, 30, 40).tolist()
+        near = {i: rng.permutation(40) for i in range(40)}
+        left, want = lengths.copy(), []
+        for seed in sorted(range(40), key=lambda i: (-lengths[i], i)):
+            if not left[seed]:
+                continue
+            seq, space = [(seed, lengths[seed] - left[seed], left[seed])], 32 - left[seed]
+            left[seed] = 0
+            free = [i for i in near[seed].tolist() if left[i]]
+            for i in free:
+                if space and left[i] <= space:
+                    seq.append((i, lengths[i] - left[i], left[i]))
+                    space, left[i] = space - left[i], 0
+            rest = next((i for i in free if left[i]), None)
+            if space and rest is not None:
+                seq.append((rest, lengths[rest] - left[rest], space))
+                left[rest] -= space
+            want.append(seq)
+        assert packing.fill(lengths, near.__getitem__, 32) == want
+
+
+def test_ids_beyond_doubles_survive_a_null(spark, tmp_path):
+    big = [9007199254740993, 9007199254740995, None, -9223372036854775807]
+    df = spark.createDataFrame([(i, f"text {i}") for i in big], "doc_id long, text string").coalesce(1)
+    path = tokenizer("byte_bpe_50k.json")
+    assert {r.doc_id for r in packing.pack(spark, df, path, 0, 64).collect()} == set(big)
+    assert [r.doc_id for r in sorted(binary.round_trip(spark, df, path, 1).collect(), key=lambda r: r.start)] == [None, big[3], big[0], big[1]]
 
 
 def test_neighbours_match_brute_force():
