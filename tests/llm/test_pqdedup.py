@@ -29,6 +29,8 @@ def brute(rows, cosine):
 
 def test_links_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pqdedup, "BLOCK", 16)
+    monkeypatch.setattr(pqdedup, "VISITORS", 24)
+    monkeypatch.setattr(pqdedup, "UNIT", 32)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 12))
     rows = []
@@ -42,3 +44,26 @@ def test_links_match_brute_force(spark, monkeypatch):
         got = sorted((tuple(r) for r in pqdedup.link(spark, df.repartition(3), 0.98, list_rows=list_rows).collect()), key=str)
         assert got == brute(rows, 0.98)
     assert pqdedup.link(spark, df.limit(0)).count() == 0
+
+
+def test_probes_of_many_dimensions_find_the_links(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:500] + rng.normal(size=(500, 64)) * 0.024  # cosines about 0.98
+    x = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in pqdedup.link(spark, df, list_rows=8).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    found = sum(got.values())
+    assert all(got[i] <= want[i] for i in got) and want.sum() > 300
+    assert found >= 0.99 * want.sum()
+
+
+def test_a_hot_group_of_near_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = (np.ones(64) + rng.normal(size=(3000, 64)) * 0.01).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = pqdedup.link(spark, df).collect()
+    assert len(got) == 3000 and {(r.n_links, r.component_id) for r in got} == {(2999, 0)}
