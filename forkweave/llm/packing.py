@@ -217,11 +217,16 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = 1 << 62 | _partition() << 36
         for b in batches:
+            out, size = [], 0
             for doc, none, n, raw in zip(b["doc_id"].tolist(), b["no_doc_id"].tolist(), b["n"].tolist(), b["ids"], strict=True):
-                ids, out = np.frombuffer(raw, kind).astype("<u4"), []
+                ids = np.frombuffer(raw, kind).astype("<u4")
                 for s in range(0, n // window * window, window):
                     out.append((doc, none, s, window, n, k, 0, window, ids[s : s + window].tobytes()))
-                    k += 1
+                    k, size = k + 1, size + window
+                if size >= 1 << 20:
+                    yield framed(out)
+                    out, size = [], 0
+            if out:
                 yield framed(out)
 
     def shard(held: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -51,6 +51,14 @@ def batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield first, held
 
 
+def prefix_sums(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Prefix sums from which Words.span() hashes any span of bytes, as mapped by table."""
+    n = len(buf)
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum((table[buf].astype(np.uint64) + np.uint64(1)) * _tables(n + 1)[0][:n], out=out[1:])
+    return out
+
+
 class Words:
     """Bytes, word bounds and owners of a few texts."""
 
@@ -68,11 +76,7 @@ class Words:
         self.count = np.bincount(self.doc, minlength=self.n)
 
     def sums(self, table: np.ndarray = LOWER) -> np.ndarray:
-        """Prefix sums from which span() hashes any span of bytes, as mapped by table."""
-        n = len(self.buf)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum((table[self.buf].astype(np.uint64) + np.uint64(1)) * _tables(n + 1)[0][:n], out=out[1:])
-        return out
+        return prefix_sums(self.buf, table)
 
     @staticmethod
     def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from itertools import accumulate, chain, islice
 
 import numpy as np
 
-from .textnum import LOWER, Words, batches
+from .textnum import LOWER, SPACE, Words, prefix_sums
 
 SAME = np.arange(256, dtype=np.uint8)
 
@@ -17,11 +17,16 @@ _PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space of any kind that is none of these four; texts that hold it are encoded whole.
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _LATIN_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
-_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-#: In Latin-1: a run of letters, or of others; letters behind an apostrophe stay with it (contractions).
-_RUNS = rf"(?:[{_L}]+|[^{_L} \n\t\r]+(?:(?<=')[{_L}]+)?)"
-_BARE = re.compile(_RUNS)
-_SPACED = re.compile(rf"[ \n\t\r]*{_RUNS}|[ \n\t\r]+")
+#: The letters of Latin-1.
+_LETTERS = np.array([chr(x).isalpha() for x in range(256)])
+_APOSTROPHE = 39
+#: What stands before a run is part of it: nothing, a newline or a space; and its part of the run's hash.
+_LEADS = ("", "\n", " ")
+_LEAD_BITS = np.array([0x1F0E3DA5C7, 0x5AC7D3, 0], np.uint64)
+#: Byte-level vocabularies write a byte as the character of that number if it is printable, else from 256 on in order.
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Runs encoded as one text, and what parts them there: no run holds it.
+_JOINED, BETWEEN = 256, "\n"
 _KEPT: dict[str, ChunkEncoder] = {}
 
 
@@ -81,15 +86,15 @@ class Table:
 
 
 class ChunkEncoder:
-    """Encodes texts word by word and keeps the ids of words.
+    """Encodes texts run by run and keeps the ids of runs.
 
     The pre-tokenizers of the two kinds of vocabulary never join a character to white space behind it, nor letters to
-    other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its words,
-    with the white space before them, in order, and the ids of a word are those of its runs of letters and of others.
-    Most words repeat: they are found by hash, many at once, and only new runs reach the tokenizer, many in one text
-    with a special token between them. A vocabulary with word ends drops white space and lower-cases. Texts beyond
-    Latin-1 or with unusual white space are split by patterns. A word is known by its 64-bit hash alone: of the `keep`
-    words that a worker holds at most, two share a hash with a chance below keep^2 / 2^65, 3e-8 at a million.
+    other characters, except a space before and a contraction's apostrophe. So the ids of a text are those of its runs of
+    letters and of others, in order, each with the white space before it; letters behind an apostrophe stay with it.
+    Most runs repeat: they are found by hash, many at once, and only new ones reach the tokenizer, runs of letters many
+    in one text with a token of their own between them. A vocabulary with word ends drops white space and lower-cases.
+    Texts beyond Latin-1 or with unusual white space are split by patterns. A run is known by its 64-bit hash alone: of
+    the `keep` runs that a worker holds at most, two share a hash with a chance below keep^2 / 2^65, 3e-8 at a million.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -97,12 +102,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        between = [(t.content, k) for k, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.between, self.between_id = between[0] if between else ("", -1)
+        self.model = Tokenizer(self.tok.model)  # for what is one pre-token already
+        self.model.add_special_tokens([BETWEEN])
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.bare = getattr(self.tok.model, "end_of_word_suffix", None) is not None
-        self.keep, self.words, self.runs = keep, Table(self.dtype, keep), {}
+        self.keep, self.runs, self.chunks = keep, Table(self.dtype, keep), {}
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -114,97 +119,109 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text by the tokenizer itself."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 2048):
-            some = texts[i : i + 2048]
-            out += self._joined(some) or self._each(some)
+        for i in range(0, len(texts), 512):
+            ids = [e.ids for e in self.tok.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
+            ends = list(accumulate(map(len, ids), initial=0))
+            raw, k = np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
+            out += [raw[k * s : k * e] for s, e in zip(ends, ends[1:], strict=False)]
         return out
 
-    def _joined(self, texts: list[str]) -> list[bytes] | None:
-        """Ids of texts encoded as one, parted by a special token; None if that token stands in a text."""
-        if not self.between or any(self.between in x for x in texts):
-            return None
-        ids = np.array(self.tok.encode_batch_fast([self.between.join(texts)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
-        if len(ends) != len(texts):
-            return None
-        raw, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        return [raw[k * s : k * e] for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = list(accumulate(map(len, ids), initial=0))
-        raw, k = np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
-        return [raw[k * s : k * e] for s, e in zip(ends, ends[1:], strict=False)]
+    def _model_ids(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that are one pre-token each, by the tokenizer's model, many in one text."""
+        out: list[bytes] = []
+        between, k = self.model.token_to_id(BETWEEN), self.dtype.itemsize
+        for i in range(0, len(runs), _JOINED):
+            ids = np.array(self.model.encode_batch_fast([BETWEEN.join(runs[i : i + _JOINED])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == between), len(ids))
+            raw = ids.astype(self.dtype).tobytes()
+            out += [raw[k * s : k * e] for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+        return out
 
-    def _learn(self, runs: set[str]) -> None:
-        new = list(runs.difference(self.runs))
-        self.runs.update(zip(new, self._ids(new), strict=True))
+    def _learn(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs. A run of letters, with one space before it or none, is one pre-token: the model alone will do."""
+        one = [(x[1:] if x[0] == " " else x).isalpha() for x in runs]
+        plain = [("Ġ" + x[1:] if x[0] == " " else x) if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_CHARS) for x, ok in zip(runs, one, strict=True) if ok]
+        by_model, by_tok = iter(self._model_ids(plain)), iter(self._ids([x for x, ok in zip(runs, one, strict=True) if not ok]))
+        return [next(by_model if ok else by_tok) for ok in one]
 
-    def _plain(self, t: str) -> bool:
-        """Whether a text is in Latin-1 with plain white space, and single (for vocabularies that keep it)."""
+    def _latin(self, t: str) -> bytes | None:
+        """The text in Latin-1, if it has plain white space, and single (for vocabularies that keep it)."""
         try:
             raw = t.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        if len(raw.translate(None, _LATIN_SPACE)) < len(raw) or "<|" in t:
-            return False
-        return self.bare or not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[:1] in " \n" or t[-1:] in " \n")
+            return None
+        if len(raw.translate(None, _LATIN_SPACE)) < len(raw) or b"<|" in raw:
+            return None
+        if self.bare or not (b"  " in raw or b"\n\n" in raw or b" \n" in raw or b"\n " in raw or b"\t" in raw or b"\r" in raw or raw[:1] in b" \n" or raw[-1:] in b" \n"):
+            return raw
+        return None
 
     def _missing(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash, and a place of each different one that is not there."""
-        slot = self.words.find(h)
+        slot = self.runs.find(h)
         new = np.flatnonzero(slot < 0)
         return slot, new[np.unique(h[new], return_index=True)[1]]
 
     def _fast(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of plain texts."""
-        w = Words(texts)
-        h = w.span(w.sums(LOWER if self.bare else SAME), w.start, w.end)
-        if not self.bare:  # what stands before a word is part of it: nothing, a newline or a space
-            first = np.isin(w.start, w.doc_start)
-            newline = ~first & (w.buf[w.start - 1] == 10)
-            h = h ^ np.where(first, np.uint64(0x1F0E3DA5C7), np.where(newline, np.uint64(0x5AC7D3), np.uint64(0)))
+        """The ids of plain texts in Latin-1."""
+        raw = b"\n".join(texts)
+        buf = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        inside, letter = np.zeros(len(buf) + 2, bool), _LETTERS[buf]
+        inside[1:-1] = ~SPACE[buf]
+        fresh = np.ones(len(buf) + 1, bool)  # where a run ends or begins
+        fresh[1:-1] = (letter[1:] != letter[:-1]) & ~(letter[1:] & (buf[:-1] == _APOSTROPHE))
+        first = inside[1:-1] & ~inside[:-2]
+        start = np.flatnonzero(first | (inside[1:-1] & fresh[:-1]))
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | fresh[1:])) + 1
+        sums = prefix_sums(buf, LOWER if self.bare else SAME)
+        h = Words.span(sums, start, end)
+        lead = np.zeros(len(start), np.int8)
+        if not self.bare:
+            lead[first[start]] = 2
+            lead[(lead == 2) & (buf[start - 1] == 10)] = 1
+            lead[np.isin(start, begins, assume_unique=True)] = 0
+            h = h ^ _LEAD_BITS[lead]
         h[h == 0] = 1  # 0 marks a free slot
         slot, some = self._missing(h)
-        if self.words.words + len(some) > self.words.keep:
-            self.words.halve()
+        if self.runs.words + len(some) > self.runs.keep:
+            self.runs.halve()
             slot, some = self._missing(h)
-            if self.words.words + len(some) > self.words.keep:  # a text with more words than are kept
-                self.words = Table(self.dtype, max(self.keep, len(np.unique(h))))
+            if self.runs.words + len(some) > self.runs.keep:  # a text with more runs than are kept
+                self.runs = Table(self.dtype, max(self.keep, len(np.unique(h))))
                 slot, some = self._missing(h)
         if len(some):
-            raw = b"\n".join(texts)
-            fresh = [raw[s:e].decode() for s, e in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
-            if self.bare:
-                split = [_BARE.findall(x.lower()) for x in fresh]
-            else:
-                lead = np.where(first[some], 0, np.where(newline[some], 1, 2)).tolist()
-                split = [_SPACED.findall(("", "\n", " ")[k] + x) for k, x in zip(lead, fresh, strict=True)]
-            self._learn(set().union(*split))
-            self.words.add(h[some], [b"".join(map(self.runs.__getitem__, x)) for x in split])
+            new = [raw[s:e].decode("latin-1") for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+            new = [x.lower() for x in new] if self.bare else [_LEADS[k] + x for k, x in zip(lead[some].tolist(), new, strict=True)]
+            self.runs.add(h[some], self._learn(new))
             late = np.flatnonzero(slot < 0)
-            slot[late] = self.words.find(h[late])
-        at, n = self.words.at[slot].astype(np.int64), self.words.n[slot].astype(np.int64)
-        ends = np.cumsum(n)
-        ids = self.words.pool[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        k = self.dtype.itemsize
-        per = np.cumsum(np.bincount(w.doc, n, w.n).astype(np.int64)) * k
-        return [ids[s:e] for s, e in zip([0, *per[:-1].tolist()], per.tolist(), strict=True)]
+            slot[late] = self.runs.find(h[late])
+        at, n = self.runs.at[slot].astype(np.int64), self.runs.n[slot].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.runs.pool[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        per = (ends[np.searchsorted(start, np.append(begins, len(buf)))] * self.dtype.itemsize).tolist()
+        return [ids[s:e] for s, e in zip(per, per[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian numbers of self.dtype."""
         out: list[bytes] = [b""] * len(texts)
-        plain = [self._plain(t) for t in texts]
-        fast = [i for i, ok in enumerate(plain) if ok and texts[i]]
-        for first, raw in batches([texts[i] for i in fast], 1 << 21):
-            for i, x in zip(fast[first:], self._fast(raw), strict=False):
-                out[i] = x
-        rest = [i for i, ok in enumerate(plain) if not ok]
+        plain = [self._latin(t) for t in texts]
+        held, size = [], 0
+        for i, raw in enumerate(plain):
+            if raw:
+                held.append(i)
+                size += len(raw)
+            if held and (size > 1 << 21 or i == len(plain) - 1):
+                for k, x in zip(held, self._fast([plain[k] for k in held]), strict=True):
+                    out[k] = x
+                held, size = [], 0
+        rest = [i for i, raw in enumerate(plain) if raw is None]
         odd = [[t] if _OTHER_SPACE.search(t) or "<|" in t else _PLAIN.findall(t) for t in (texts[i] for i in rest)]
-        whole = list(set().union(*odd).difference(self.runs))
-        self.runs.update(zip(whole, self._ids(whole), strict=True))
+        whole = list(set().union(*odd).difference(self.chunks))
+        self.chunks.update(zip(whole, self._ids(whole), strict=True))
         for i, chunks in zip(rest, odd, strict=True):
-            out[i] = b"".join(map(self.runs.__getitem__, chunks))
-        if len(self.runs) > 150_000:  # the first ones seen are the commonest
-            self.runs = dict(islice(self.runs.items(), 75_000))
+            out[i] = b"".join(map(self.chunks.__getitem__, chunks))
+        if len(self.chunks) > 150_000:  # the first ones seen are the commonest
+            self.chunks = dict(islice(self.chunks.items(), 75_000))
         return out
