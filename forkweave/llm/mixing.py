@@ -9,9 +9,14 @@ prefix sums. The last document in is taken in part (words), or by copies as a wh
 A source's keys are cut into ascending buckets of about 256 documents (at most 65,536), so that prefix sums run in
 many tasks: over the bucket totals, then within each bucket.
 
-Defined results: a null text has size 0; sources of size 0 get the target 0; a null source is a source of its own;
-documents with one id share u and are ordered by size, equal rows are interchangeable; an empty table gives no rows;
-further columns are kept (names that start with mix_ are the operator's own).
+The weight of a document is `weight` (any positive column), or by default quality(): the share of its characters that
+are neither digits nor signs. There is a row for each source in one task, twice: sources are few against documents.
+
+Defined results: a null text has size 0; sources of size 0 get the target 0; a null source is a source of its own; a
+null or repeated doc_id has u from the text too, as every row has; equal rows share u, are interchangeable and are
+ordered by size; a weight that is null or not positive counts as the least of the default, 0.25; texts of any length
+are one document; an empty table gives no rows; further columns are kept, but for those of the names in OWN, which the
+operator makes anew.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .common import WORD, saved
 
 #: Broadcast a table of sources up to this many rows; beyond it, it is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Columns that the operator makes, some of them for its own use alone.
+OWN = tuple(f"mix_{x}" for x in "size quality key salt source_size target taken copies mean buckets x part epochs rest sum base before".split())
 
 
 def quality(text: Column) -> Column:
@@ -31,11 +38,12 @@ def quality(text: Column) -> Column:
     return F.when(F.length(text) > 0, 0.25 + 0.75 * plain / F.length(text)).otherwise(0.25)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs with mix_size (words), mix_quality and mix_key (the source, null apart)."""
+def measure(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """docs with mix_size (words), mix_quality, mix_key (the source, null apart) and mix_salt (the text's hash)."""
     text = F.coalesce("text", F.lit(""))
     key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    return docs.withColumns({"mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "mix_quality": quality(text), "mix_key": key})
+    weighed = quality(text) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(0.25)
+    return docs.drop(*OWN).withColumns({"mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "mix_quality": weighed, "mix_key": key, "mix_salt": F.xxhash64(text)})
 
 
 def targets(spark: SparkSession, measured: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -65,7 +73,7 @@ def mix(spark: SparkSession, measured: DataFrame, weights: tuple[int, ...] = (5,
     per = saved(spark, targets(spark, measured, weights, share, most), "targets")
     if per.count() <= BROADCAST_ROWS:
         per = F.broadcast(per)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("mix_salt")), 11) + 0.5) / F.lit(float(1 << 53))
     rows = measured.join(per, "mix_key").withColumn("mix_x", -F.ln(u) / F.col("mix_quality"))
     part = F.floor(F.col("mix_buckets") * (1 - F.exp(-F.col("mix_x") * F.col("mix_mean"))))
     rows = rows.withColumn("mix_part", F.least(part, F.col("mix_buckets") - 1).cast("int"))
@@ -80,4 +88,4 @@ def mix(spark: SparkSession, measured: DataFrame, weights: tuple[int, ...] = (5,
     whole = (F.col("mix_size") > 0) & (room * 2 >= F.col("mix_size"))
     out = rows.withColumn("mix_taken", F.col("mix_epochs") * F.col("mix_size") + F.greatest(F.lit(0), F.least(room, F.col("mix_size"))))
     out = out.withColumn("mix_copies", (F.col("mix_epochs") + whole.cast("long")).cast("int"))
-    return out.drop("mix_x", "mix_part", "mix_epochs", "mix_rest", "mix_base", "mix_before", "mix_mean", "mix_buckets", "mix_quality")
+    return out.drop("mix_x", "mix_part", "mix_epochs", "mix_rest", "mix_base", "mix_before", "mix_mean", "mix_buckets", "mix_quality", "mix_salt")
