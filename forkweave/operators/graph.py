@@ -1,12 +1,14 @@
 """Graph operators over edge tables (room_id, child, parent[, ord]) and event tables (room_id, event_id, ...).
 
-Closures are made per room in one pass (each task holds one room); everything built on them is joins and aggregates.
-reach() walks any edges from seeds by a frontier loop of joins instead, for rooms too large for one task.
+Walks go from their seeds, in one pass over the edges of a room that a task holds, so that time and memory follow the
+room's edges, not its pairs. closure() makes all pairs, for those who want them. reach() walks any edges from seeds by a
+frontier loop of joins instead, for rooms too large for one task.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,30 +74,75 @@ def closure(edges: DataFrame) -> DataFrame:
     return by_room(edges.select("room_id", "child", "parent").distinct(), _closed, f"room_id {room}, event_id {kind}, ancestor_id {kind}, hops int")
 
 
-def from_seeds(closed: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """room_id, event_id: the seeds and everything below them, up to `most` hops."""
-    ids = seeds.select("room_id", "event_id")
-    if most is not None:
-        closed = closed.where(F.col("hops") <= most)
-    return ids.unionAll(closed.join(ids, ["room_id", "event_id"], "left_semi").select("room_id", F.col("ancestor_id").alias("event_id"))).distinct()
+def _near(rows: list, down: bool = True) -> dict:
+    """What each node leads to: parents, or children."""
+    near: dict = {}
+    for _, _, x, y in rows:
+        if y is not None:
+            near.setdefault(x if down else y, []).append(y if down else x)
+    return near
+
+
+def _hops(near: dict, starts: Iterable, most: int | None = None, strict: bool = False) -> dict:
+    """Least hops from any start; strict: at least one hop."""
+    met, level, n = {}, list(dict.fromkeys(starts)), 0
+    if not strict:
+        met = dict.fromkeys(level, 0)
+    while level and (most is None or n < most):
+        n += 1
+        after = []
+        for x in level:
+            for y in near.get(x, ()):
+                if y not in met:
+                    met[y] = n
+                    after.append(y)
+        level = after
+    return met
+
+
+def _walked(edges: DataFrame, sets: list[DataFrame], run, columns: str) -> DataFrame:
+    """run(room, rows) over each room that has a seed: rows (room, set, id, null) of its seeds and (room, -1, child, parent) of its edges, edges last."""
+    room, kind = (edges.schema[c].dataType.simpleString() for c in ("room_id", "child"))
+    none = F.lit(None).cast(kind)
+    rows = edges.select("room_id", F.lit(-1).alias("set"), F.col("child").alias("id"), "parent").distinct()
+    for n, seeds in enumerate(sets):
+        rows = rows.unionByName(seeds.select("room_id", F.lit(n).alias("set"), F.col("event_id").cast(kind).alias("id"), none.alias("parent")))
+    return by_room(rows, run, f"room_id {room}, {columns.format(id=kind)}")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None, down: bool = True, strict: bool = False) -> DataFrame:
+    """room_id, event_id, hops: what a room's seeds reach, they included unless strict, at the least hops, up to `most`."""
 
+    def run(room, rows):
+        starts = [r[2] for r in rows if r[1] == 0]
+        return [(room, x, n) for x, n in _hops(_near(rows, down), starts, most, strict).items()] if starts else []
 
-def to_seeds(closed: DataFrame, seeds: DataFrame) -> DataFrame:
-    """room_id, event_id: the seeds and everything above them."""
-    ids = seeds.select("room_id", "event_id")
-    up = closed.join(ids.withColumnRenamed("event_id", "ancestor_id"), ["room_id", "ancestor_id"], "left_semi")
-    return ids.unionAll(up.select("room_id", "event_id")).distinct()
+    return _walked(edges, [seeds], run, "event_id {id}, hops int")
 
 
-def subgraph(closed: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+def chains(edges: DataFrame, starts: DataFrame, reflexive: bool = False) -> DataFrame:
+    """room_id, start, event_id: the ancestors of each start, one walk each."""
+
+    def run(room, rows):
+        near = _near(rows)
+        for start in dict.fromkeys(r[2] for r in rows if r[1] == 0):
+            for x in _hops(near, [start], None, not reflexive):
+                yield room, start, x
+
+    return _walked(edges, [starts], run, "start {id}, event_id {id}")
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """Events both below and above seeds, seeds included; `most` bounds the way down."""
-    return from_seeds(closed, seeds, most).join(to_seeds(closed, seeds), ["room_id", "event_id"], "left_semi")
 
+    def run(room, rows):
+        starts = [r[2] for r in rows if r[1] == 0]
+        if not starts:
+            return []
+        up = _hops(_near(rows, False), starts)
+        return [(room, x) for x in _hops(_near(rows), starts, most) if x in up]
 
-def chains(closed: DataFrame, starts: DataFrame, reflexive: bool = False) -> DataFrame:
-    """room_id, start, event_id: the ancestors of each start."""
-    of = closed.join(starts.select("room_id", "event_id"), ["room_id", "event_id"], "left_semi").select("room_id", F.col("event_id").alias("start"), F.col("ancestor_id").alias("event_id"))
-    return of.unionAll(starts.select("room_id", F.col("event_id").alias("start"), "event_id")) if reflexive else of
+    return _walked(edges, [seeds], run, "event_id {id}")
 
 
 def difference(chained: DataFrame, starts: DataFrame) -> DataFrame:
@@ -105,24 +152,55 @@ def difference(chained: DataFrame, starts: DataFrame) -> DataFrame:
     return seen.join(n, "room_id").where("seen < n").select("room_id", "event_id")
 
 
-def bounded_difference(closed: DataFrame, disputed: DataFrame, agreed: DataFrame) -> DataFrame:
+def bounded_difference(edges: DataFrame, disputed: DataFrame, agreed: DataFrame) -> DataFrame:
     """What the disputed events' chains hold beyond the agreed ones', both reflexive."""
-    return from_seeds(closed, disputed).join(from_seeds(closed, agreed), ["room_id", "event_id"], "left_anti")
 
+    def run(room, rows):
+        near = _near(rows)
+        known = _hops(near, [r[2] for r in rows if r[1] == 1])
+        return [(room, x) for x in _hops(near, [r[2] for r in rows if r[1] == 0]) if x not in known]
+
+    return _walked(edges, [disputed, agreed], run, "event_id {id}")
 
-def merge_base(closed_prev: DataFrame, tips: DataFrame, events: DataFrame) -> DataFrame:
+
+def merge_base(prev: DataFrame, tips: DataFrame, events: DataFrame) -> DataFrame:
     """room_id, event_id: the deepest event that all of a room's tips reach."""
-    common = chains(closed_prev, tips, reflexive=True).groupBy("room_id", "event_id").agg(F.countDistinct("start").alias("seen"))
+    common = chains(prev, tips, reflexive=True).groupBy("room_id", "event_id").agg(F.countDistinct("start").alias("seen"))
     n = tips.groupBy("room_id").agg(F.count("*").alias("n"))
     full = common.join(n, "room_id").where("seen = n").join(events.select("room_id", "event_id", "depth"), ["room_id", "event_id"])
     return full.groupBy("room_id").agg(F.max_by("event_id", F.struct("depth", "event_id")).alias("event_id"))
 
 
-def distances(closed: DataFrame, events: DataFrame, kind: str = "m.room.create") -> DataFrame:
+def distances(edges: DataFrame, events: DataFrame, kind: str = "m.room.create") -> DataFrame:
     """room_id, event_id, distance: least hops to the room's event of a kind; 0 for itself."""
-    goal = events.where(F.col("type") == kind).select("room_id", F.col("event_id").alias("ancestor_id"))
-    far = closed.join(goal, ["room_id", "ancestor_id"]).groupBy("room_id", "event_id").agg(F.min("hops").alias("distance"))
-    return far.unionAll(goal.select("room_id", F.col("ancestor_id").alias("event_id"), F.lit(0).alias("distance")))
+    goal = events.where(F.col("type") == kind).select("room_id", "event_id")
+    return reachable(edges, goal, down=False).withColumnRenamed("hops", "distance")
+
+
+def depths(events: DataFrame, prev: DataFrame) -> DataFrame:
+    """room_id, event_id, depth: the longest way down to an event without known parents, which has depth 1; none in or behind a cycle."""
+
+    def run(room, rows):
+        parents: dict = {r[2]: [] for r in rows if r[1] == 0}
+        for _, n, x, y in rows:
+            if n == -1 and x in parents and y in parents:
+                parents[x].append(y)
+        waits, after = {x: len(ps) for x, ps in parents.items()}, {}
+        for x, ps in parents.items():
+            for p in ps:
+                after.setdefault(p, []).append(x)
+        depth = {x: 1 for x in parents}
+        queue = deque(x for x, n in waits.items() if not n)
+        while queue:
+            x = queue.popleft()
+            yield room, x, depth[x]
+            for y in after.get(x, ()):
+                depth[y] = max(depth[y], depth[x] + 1)
+                waits[y] -= 1
+                if not waits[y]:
+                    queue.append(y)
+
+    return _walked(prev, [events], run, "event_id {id}, depth int")
 
 
 def _grouped(_, rows: list) -> list[tuple]:

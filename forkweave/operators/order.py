@@ -20,46 +20,76 @@ def auth_levels(events: DataFrame, auth: DataFrame, levels: DataFrame, otherwise
     return out.select("room_id", "event_id", level.cast("long").alias("level"))
 
 
-def _line(room, rows: list) -> list[tuple]:
-    """The mainline from the room's resolved levels: rows are (room, child, parent, ord, hops) among power-levels events."""
-    nearest: dict = {}
-    start = None
-    for _, child, parent, hops, order in rows:
-        if child is None:
-            start = parent
-        elif (hops, order, parent) < nearest.get(child, (1 << 62, 0, 0)):
-            nearest[child] = (hops, order, parent)
-    out, seen = [], set()
+def _mainline(auth: dict, levels: set, start) -> list:
+    """Power-levels events from the resolved one down: each time the nearest by authority, of equals the first met."""
+    line: list = []
+    seen: set = set()
     while start is not None and start not in seen:
+        line.append(start)
         seen.add(start)
-        out.append((room, start, len(out)))
-        start = nearest[start][2] if start in nearest else None
-    return out
+        level, met, start = auth.get(start, []), set(), None
+        while level and start is None:
+            after = []
+            for x in level:
+                if x in met:
+                    continue
+                met.add(x)
+                if x in levels:
+                    start = x
+                    break
+                after += auth.get(x, [])
+            level = after
+    return line
+
+
+def _positions(room, rows: list):
+    """(room, event, position, whether on the mainline) of all events. Rows: (room, kind, a, b), by kind and place: 0 event, 1 power-levels event, 2 resolved levels, 3 edge."""
+    auth: dict = {}
+    events, levels, start = [], set(), None
+    for _, kind, _, x, y in rows:
+        if kind == 0:
+            events.append(x)
+        elif kind == 1:
+            levels.add(x)
+        elif kind == 2:
+            start = x
+        else:
+            auth.setdefault(x, []).append(y)
+    line = _mainline(auth, levels, start)
+    above: dict = {}
+    for x, ps in auth.items():
+        for p in ps:
+            above.setdefault(p, []).append(x)
+    at = {x: k for k, x in enumerate(line)}
+    on = set(line)
+    for k, member in enumerate(line):  # what is above a member and not above an earlier one
+        queue = [member]
+        while queue:
+            for y in above.get(queue.pop(), ()):
+                if y not in at:
+                    at[y] = k
+                    queue.append(y)
+    return [(room, x, at.get(x, len(line)), x in on) for x in events]
+
+
+def _placed(events: DataFrame, auth: DataFrame, resolved: DataFrame) -> DataFrame:
+    kind = events.schema["event_id"].dataType.simpleString()
+    none = F.lit(None).cast(kind).alias("b")
+    part = lambda df, n: df.select("room_id", F.lit(n).alias("kind"), F.lit(0).alias("ord"), F.col("event_id").cast(kind).alias("a"), none)
+    top = resolved.where("type = 'm.room.power_levels' AND state_key = ''")
+    rows = part(events, 0).unionByName(part(events.where("type = 'm.room.power_levels'"), 1)).unionByName(part(top, 2))
+    rows = rows.unionByName(auth.select("room_id", F.lit(3).alias("kind"), F.col("ord").cast("int").alias("ord"), F.col("child").alias("a"), F.col("parent").alias("b")))
+    return by_room(rows, _positions, f"room_id {events.schema['room_id'].dataType.simpleString()}, event_id {kind}, position long, on_line boolean", order=("kind", "a", "ord"))
 
 
-def mainline(events: DataFrame, auth: DataFrame, closed: DataFrame, resolved: DataFrame) -> DataFrame:
+def mainline(events: DataFrame, auth: DataFrame, resolved: DataFrame) -> DataFrame:
     """room_id, event_id, pos: power-levels events from the resolved one down, each the nearest by authority."""
-    levels = events.where("type = 'm.room.power_levels'").select("room_id", "event_id")
-    near = closed.join(levels, ["room_id", "event_id"], "left_semi").join(levels.withColumnRenamed("event_id", "ancestor_id"), ["room_id", "ancestor_id"], "left_semi")
-    direct = auth.select("room_id", F.col("child").alias("event_id"), F.col("parent").alias("ancestor_id"), "ord")
-    near = near.join(direct, ["room_id", "event_id", "ancestor_id"], "left")
-    rows = near.select("room_id", F.col("event_id").alias("child"), F.col("ancestor_id").alias("parent"), F.col("hops").cast("long").alias("hops"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"))
-    top = resolved.where("type = 'm.room.power_levels' AND state_key = ''").select("room_id", F.lit(None).cast(rows.schema["child"].dataType).alias("child"), F.col("event_id").alias("parent"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("ord"))
-    kind = events.schema["event_id"].dataType.simpleString()
-    return by_room(rows.unionByName(top), _line, f"room_id {events.schema['room_id'].dataType.simpleString()}, event_id {kind}, pos long")
-
+    return _placed(events, auth, resolved).where("on_line").select("room_id", "event_id", F.col("position").alias("pos"))
 
-def mainline_positions(events: DataFrame, auth: DataFrame, closed: DataFrame, resolved: DataFrame) -> DataFrame:
-    """room_id, event_id, position: the least mainline place that each event reaches, or the mainline's length.
 
-    A mainline event is its own place; what a chain holds beyond a mainline event has a larger place, so the minimum
-    over the whole closure is the place of the nearest.
-    """
-    line = mainline(events, auth, closed, resolved)
-    n = line.groupBy("room_id").agg(F.count("*").alias("n"))
-    reached = closed.join(line.withColumnRenamed("event_id", "ancestor_id"), ["room_id", "ancestor_id"]).groupBy("room_id", "event_id").agg(F.min("pos").alias("reached"))
-    out = events.select("room_id", "event_id").join(n, "room_id", "left").join(line, ["room_id", "event_id"], "left").join(reached, ["room_id", "event_id"], "left")
-    return out.select("room_id", "event_id", F.coalesce("pos", "reached", "n", F.lit(0)).cast("long").alias("position"))
+def mainline_positions(events: DataFrame, auth: DataFrame, resolved: DataFrame) -> DataFrame:
+    """room_id, event_id, position: the least mainline place that each event reaches, or the mainline's length. One pass over a room's edges."""
+    return _placed(events, auth, resolved).select("room_id", "event_id", "position")
 
 
 def lattice_winners(events: DataFrame) -> DataFrame:
@@ -75,19 +105,66 @@ def by_priority(events: DataFrame) -> DataFrame:
     return events.withColumn("pos", F.row_number().over(order).cast("long"))
 
 
-def domination_candidates(disputed: DataFrame, closed: DataFrame) -> DataFrame:
+def _dominated(room, rows: list):
+    """(room, admin, event) pairs. Rows: (room, kind, a, b, pos, sender, target, demoted, locks, joins), by kind: 0 a disputed event, 1 an edge.
+
+    Each admin action is a bit; one sweep along the edges gives every event the admins below it and, backwards, above it.
+    """
+    disputed = sorted((r for r in rows if r[1] == 0), key=lambda r: r[4])
+    admins = [r for r in disputed if r[6] is not None or r[7] or r[8]]
+    if not admins:
+        return
+    parents: dict = {}
+    for r in rows:
+        if r[1] == 1:
+            parents.setdefault(r[2], []).append(r[3])
+            parents.setdefault(r[3], [])
+    waits, after = {x: len(ps) for x, ps in parents.items()}, {}
+    for x, ps in parents.items():
+        for p in ps:
+            after.setdefault(p, []).append(x)
+    bit = {r[2]: 1 << k for k, r in enumerate(admins)}
+    below, above, order = dict(bit), dict(bit), [x for x, n in waits.items() if not n]
+    for x in order:  # grows; what is in or behind a cycle is left out
+        for y in after.get(x, ()):
+            below[y] = below.get(y, 0) | below.get(x, 0)
+            waits[y] -= 1
+            if not waits[y]:
+                order.append(y)
+    for x in reversed(order):
+        for p in parents[x]:
+            above[p] = above.get(p, 0) | above.get(x, 0)
+    on_sender: dict = {}
+    locks = 0
+    for r in admins:
+        for user in ([r[6]] if r[6] is not None else []) + list(r[7] or ()):
+            on_sender[user] = on_sender.get(user, 0) | bit[r[2]]
+        locks |= bit[r[2]] if r[8] else 0
+    earlier = 0  # admins of higher priority
+    for r in disputed:
+        hits = (on_sender.get(r[5], 0) | (locks if r[9] else 0)) & earlier & ~(below.get(r[2], 0) | above.get(r[2], 0))
+        while hits:
+            low = hits & -hits
+            yield room, admins[low.bit_length() - 1][2], r[2]
+            hits ^= low
+        earlier |= bit.get(r[2], 0)
+
+
+def domination_candidates(disputed: DataFrame, edges: DataFrame) -> DataFrame:
     """room_id, admin, event_id: admin actions of higher priority that bear on a concurrent event of the set.
 
-    Who is borne on is an equality (the sender, or any join), so the pairs come from equi-joins within a room.
+    edges: timeline and authority. Bits for the admin actions alone travel along the edges, so that a room costs its edges
+    times its admin actions / 64 and no pair is made that is not a result.
     """
     rows = by_priority(disputed).withColumns({"is_removal": c.is_removal(), "is_levels": c.is_levels(), "is_lockdown": c.is_lockdown()})
-    hits = F.when(F.col("is_removal"), F.array("state_key")).when(F.col("is_levels"), F.col("demoted")).otherwise(F.array().cast("array<string>"))
-    who = rows.select("room_id", F.col("event_id").alias("admin"), F.col("pos").alias("admin_pos"), F.explode(hits).alias("sender"))
-    by_sender = rows.join(who, ["room_id", "sender"])
-    locks = rows.where("is_lockdown").select("room_id", F.col("event_id").alias("admin"), F.col("pos").alias("admin_pos"))
-    by_lock = rows.where("type = 'm.room.member' AND membership = 'join'").join(locks, "room_id")
-    pairs = by_sender.select("room_id", "admin", "admin_pos", "event_id", "pos").unionByName(by_lock.select("room_id", "admin", "admin_pos", "event_id", "pos")).where("admin_pos < pos")
-    below = closed.select("room_id", F.col("event_id").alias("admin"), F.col("ancestor_id").alias("event_id"))
-    above = closed.select("room_id", F.col("ancestor_id").alias("admin"), "event_id")
-    on = ["room_id", "admin", "event_id"]
-    return pairs.select(*on).distinct().join(below, on, "left_anti").join(above, on, "left_anti")
+    kind = disputed.schema["event_id"].dataType.simpleString()
+    empty = F.array().cast("array<string>")
+    events = rows.select(
+        "room_id", F.lit(0).alias("kind"), F.col("event_id").alias("a"), F.lit(None).cast(kind).alias("b"), "pos", "sender",
+        F.when(F.col("is_removal"), F.col("state_key")).alias("target"), F.when(F.col("is_levels"), F.coalesce("demoted", empty)).otherwise(empty).alias("demoted"),
+        F.coalesce("is_lockdown", F.lit(False)).alias("locks"), F.coalesce((F.col("type") == "m.room.member") & (F.col("membership") == "join"), F.lit(False)).alias("joins"),
+    )
+    none = [F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("target"), empty.alias("demoted"), F.lit(False).alias("locks"), F.lit(False).alias("joins")]
+    steps = edges.select("room_id", F.lit(1).alias("kind"), F.col("child").cast(kind).alias("a"), F.col("parent").cast(kind).alias("b")).distinct().select("*", *none)
+    room = disputed.schema["room_id"].dataType.simpleString()
+    return by_room(events.unionByName(steps), _dominated, f"room_id {room}, admin {kind}, event_id {kind}")

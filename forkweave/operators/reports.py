@@ -19,11 +19,11 @@ def membership(state: DataFrame, events: DataFrame) -> DataFrame:
     return rows.groupBy("room_id", "membership").agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_list("user")), ",").alias("users"))
 
 
-def scalars(events: DataFrame, state: DataFrame, closed: DataFrame, components: DataFrame) -> DataFrame:
-    """One row a room: sizes, depths, root, number of components."""
+def scalars(events: DataFrame, state: DataFrame, chain: DataFrame, components: DataFrame) -> DataFrame:
+    """One row a room: sizes, depths, root, number of components. chain: room_id, event_id of the state's authority."""
     base = events.groupBy("room_id").agg(F.count("*").alias("total_events"), F.min("depth").cast("long").alias("min_depth"), F.max("depth").cast("long").alias("max_depth"), F.min_by("event_id", F.struct("depth", "event_id")).alias("root_event_id"))
     size = state.groupBy("room_id").agg(F.count("*").alias("state_size"))
-    chain = closed.join(state.select("room_id", "event_id"), ["room_id", "event_id"], "left_semi").groupBy("room_id").agg(F.countDistinct("ancestor_id").alias("auth_chain_size"))
+    chain = chain.groupBy("room_id").agg(F.countDistinct("event_id").alias("auth_chain_size"))
     groups = components.groupBy("room_id").agg(F.countDistinct("root").alias("n_components"))
     return base.join(size, "room_id", "left").join(chain, "room_id", "left").join(groups, "room_id", "left").fillna(0, ["state_size", "auth_chain_size", "n_components"])
 

@@ -51,19 +51,42 @@ def linear_chain(events: DataFrame, most: int = 100) -> DataFrame:
     return out.select("room_id", "seq", "event_id", "type", "state_key", "parent_id", (F.col("seq") % max(most, 1) == 0).alias("is_snapshot"))
 
 
+def _numbered(chain: DataFrame) -> DataFrame:
+    """chain with mark (the place of the last snapshot up to each row) and marks (how many there are up to it)."""
+    so_far = Window.partitionBy("room_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return chain.withColumns({"mark": F.max(F.when(F.col("is_snapshot"), F.col("seq"))).over(so_far), "marks": F.sum(F.col("is_snapshot").cast("long")).over(so_far)})
+
+
 def snapshots(chain: DataFrame) -> DataFrame:
-    """room_id, seq, type, state_key, event_id: the whole state at each snapshot of a chain."""
-    marks = chain.where("is_snapshot").select("room_id", F.col("seq").alias("at"))
-    rows = chain.where(F.col("state_key").isNotNull()).join(marks, "room_id").where(F.col("seq") <= F.col("at"))
-    return rows.groupBy("room_id", "at", "type", "state_key").agg(F.max_by("event_id", "seq").alias("event_id")).withColumnRenamed("at", "seq")
+    """room_id, seq, type, state_key, event_id: the whole state at each snapshot of a chain.
+
+    An entry holds from its row to the next one of its key: it is copied to the snapshots in between, no more rows than
+    the result has.
+    """
+    rows = _numbered(chain)
+    all_marks = rows.groupBy("room_id").agg(F.max("marks").alias("all"))
+    of_key = Window.partitionBy("room_id", "type", "state_key").orderBy("seq")
+    own = F.col("is_snapshot").cast("long")
+    held = rows.where(F.col("state_key").isNotNull()).withColumn("until", F.lead(F.col("marks") - own).over(of_key))
+    held = held.join(all_marks, "room_id").withColumns({"lo": F.col("marks") - own + 1, "hi": F.coalesce("until", "all")}).where("lo <= hi")
+    held = held.select("room_id", "type", "state_key", "event_id", F.explode(F.sequence("lo", "hi")).alias("marks"))
+    marks = rows.where("is_snapshot").select("room_id", "marks", "seq")
+    return held.join(marks, ["room_id", "marks"]).select("room_id", "seq", "type", "state_key", "event_id")
 
 
 def reconstruct(chain: DataFrame, whole: DataFrame, targets: DataFrame) -> DataFrame:
-    """room_id, target, type, state_key, event_id: the states at target places, each from its last snapshot and the deltas behind it."""
-    marks = chain.where("is_snapshot").select("room_id", F.col("seq").alias("mark"))
-    start = targets.join(marks, "room_id").where("mark <= target").groupBy("room_id", "target").agg(F.max("mark").alias("mark"))
+    """room_id, target, type, state_key, event_id: the states at target places, each from its last snapshot and the deltas behind it.
+
+    Targets, snapshots and deltas meet by room and snapshot, so that a target meets the deltas of one block alone.
+    """
+    places = chain.select("room_id", "seq", "is_snapshot", F.lit(None).cast("long").alias("target"))
+    asked = targets.select("room_id", F.col("target").cast("long").alias("seq"), F.lit(False).alias("is_snapshot"), F.col("target").cast("long").alias("target"))
+    so_far = Window.partitionBy("room_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    start = places.unionByName(asked).withColumn("mark", F.max(F.when(F.col("is_snapshot"), F.col("seq"))).over(so_far))
+    start = start.where("target is not null and mark is not null").select("room_id", "target", "mark").distinct()
     base = start.join(whole.withColumnRenamed("seq", "mark"), ["room_id", "mark"]).select("room_id", "target", F.col("mark").alias("seq"), "type", "state_key", "event_id")
-    later = start.join(chain, "room_id").where("seq > mark and seq <= target and state_key is not null").select("room_id", "target", "seq", "type", "state_key", "event_id")
+    deltas = _numbered(chain).where("state_key is not null and seq > mark").select("room_id", "mark", "seq", "type", "state_key", "event_id")
+    later = start.join(deltas, ["room_id", "mark"]).where("seq <= target").select("room_id", "target", "seq", "type", "state_key", "event_id")
     return base.unionByName(later).groupBy("room_id", "target", "type", "state_key").agg(F.max_by("event_id", "seq").alias("event_id"))
 
 

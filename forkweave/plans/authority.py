@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import content as c
 from ..operators import auth as a
-from ..operators import graph as g
 from ..operators import order as o
 from ..operators import state as s
 from ..sources import derived as d
@@ -125,14 +124,14 @@ pos AS (SELECT ev.room_id, ev.event_id, coalesce(min(up.pos), any_value(n)) AS p
 @query(_LINE + " SELECT * FROM pos")
 def mainline_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return o.mainline_positions(x.events, x.auth, g.closure(x.auth), s.last_per_key(x.events))
+    return o.mainline_positions(x.events, x.auth, s.last_per_key(x.events))
 
 
 @query(_LINE + """ SELECT room_id, event_id, row_number() OVER (PARTITION BY room_id ORDER BY position DESC, ts, event_id) AS pos
 FROM pos JOIN ev USING (room_id, event_id) WHERE type NOT IN ('m.room.create', 'm.room.power_levels', 'm.room.join_rules', 'm.room.member')""")
 def mainline_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    at = o.mainline_positions(x.events, x.auth, g.closure(x.auth), s.last_per_key(x.events))
+    at = o.mainline_positions(x.events, x.auth, s.last_per_key(x.events))
     rest = x.events.where(~c.is_power("V2")).join(at, ["room_id", "event_id"])
     return rest.select("room_id", "event_id", F.row_number().over(Window.partitionBy("room_id").orderBy(F.desc("position"), "ts", "event_id")).cast("long").alias("pos"))
 
@@ -142,7 +141,7 @@ FROM pos JOIN ev USING (room_id, event_id) JOIN len USING (room_id) WHERE state_
 def lattice_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best event for each key: least mainline position, then latest, then largest id."""
     x = Graph(spark, sf_dir)
-    at = o.mainline_positions(x.events, x.auth, g.closure(x.auth), s.last_per_key(x.events))
+    at = o.mainline_positions(x.events, x.auth, s.last_per_key(x.events))
     return o.lattice_winners(x.events.where(~c.is_power("V2")).join(at, ["room_id", "event_id"]))
 
 
@@ -174,6 +173,6 @@ def domination_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     disputed = x.events.join(x.disputed(), ["room_id", "event_id"], "left_semi").withColumn("power_level", F.lit(0))
     disputed = disputed.withColumn("demoted", F.when(F.col("mod_level") == 0, F.array(F.lit("@u1:x"))).otherwise(F.array().cast("array<string>")))
     both = x.prev.select("room_id", "child", "parent").union(x.auth.select("room_id", "child", "parent"))
-    return o.domination_candidates(disputed, g.closure(both))
+    return o.domination_candidates(disputed, both)
 
 

@@ -32,7 +32,7 @@ class Graph:
 
     def head_states(self) -> DataFrame:
         """room_id, head, type, state_key, event_id."""
-        met = g.chains(g.closure(self.prev), self.heads, reflexive=True).withColumnRenamed("start", "head")
+        met = g.chains(self.prev, self.heads, reflexive=True).withColumnRenamed("start", "head")
         rows = met.join(self.events, ["room_id", "event_id"])
         return s.last_per_key(rows, "room_id", "head")
 
@@ -57,14 +57,14 @@ def auth_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT cl.room_id, ancestor_id AS event_id FROM cl JOIN st ON st.event_id = cl.event_id""")
 def auth_chain_of_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.chains(g.closure(x.auth), s.last_per_key(x.events)).select("room_id", "event_id").distinct()
+    return g.reachable(x.auth, s.last_per_key(x.events), strict=True).select("room_id", "event_id")
 
 
 @query(HEADS + CLOSURE + """, seen AS (SELECT cl.room_id, ancestor_id AS event_id, count(DISTINCT cl.event_id) AS n FROM cl JOIN heads ON heads.event_id = cl.event_id GROUP BY ALL)
 SELECT room_id, event_id FROM seen WHERE n < 2""")
 def auth_difference_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.difference(g.chains(g.closure(x.auth), x.heads), x.heads)
+    return g.difference(g.chains(x.auth, x.heads), x.heads)
 
 
 def _seeded(flag: str, name: str) -> str:
@@ -75,7 +75,7 @@ def _seeded(flag: str, name: str) -> str:
 def auth_difference_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
     part = x.partition()
-    return g.bounded_difference(g.closure(x.auth), part.where("is_conflicted"), part.where("NOT is_conflicted"))
+    return g.bounded_difference(x.auth, part.where("is_conflicted"), part.where("NOT is_conflicted"))
 
 
 _UP = """, up AS (SELECT DISTINCT event_id FROM part WHERE is_conflicted UNION SELECT cl.event_id FROM cl JOIN part ON part.event_id = cl.ancestor_id AND is_conflicted)"""
@@ -84,13 +84,13 @@ _UP = """, up AS (SELECT DISTINCT event_id FROM part WHERE is_conflicted UNION S
 @query(PARTITION + CLOSURE + _seeded("is_conflicted", "c") + _UP + " SELECT room_id, event_id FROM c WHERE event_id IN (SELECT event_id FROM up)")
 def conflicted_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.subgraph(g.closure(x.auth), x.disputed())
+    return g.subgraph(x.auth, x.disputed())
 
 
 @query(PARTITION + CLOSURE + """, c AS (SELECT DISTINCT room_id, event_id FROM part WHERE is_conflicted UNION SELECT cl.room_id, ancestor_id FROM cl JOIN part ON part.event_id = cl.event_id AND is_conflicted AND hops <= 2)""" + _UP + " SELECT room_id, event_id FROM c WHERE event_id IN (SELECT event_id FROM up)")
 def subgraph_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.subgraph(g.closure(x.auth), x.disputed(), most=2)
+    return g.subgraph(x.auth, x.disputed(), most=2)
 
 
 #: A partial copy of the table lacks the bans.
@@ -115,7 +115,7 @@ def known_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT room_id, arg_max(event_id, depth * 1000000000 + event_id) AS event_id FROM common JOIN ev USING (room_id, event_id) GROUP BY room_id""")
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.merge_base(g.closure(x.prev), x.heads, x.events)
+    return g.merge_base(x.prev, x.heads, x.events)
 
 
 @query(HEADS + """, edges AS (SELECT child, parent FROM prev UNION SELECT child, parent FROM auth),
@@ -125,24 +125,41 @@ def ancestor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that each head reaches by timeline or authority, itself included."""
     x = Graph(spark, sf_dir)
     both = x.prev.select("room_id", "child", "parent").union(x.auth.select("room_id", "child", "parent"))
-    return g.chains(g.closure(both), x.heads, reflexive=True).select("room_id", F.col("start").alias("event_id"), F.col("event_id").alias("ancestor_id"))
+    return g.chains(both, x.heads, reflexive=True).select("room_id", F.col("start").alias("event_id"), F.col("event_id").alias("ancestor_id"))
 
 
 @query(CLOSURE + """ SELECT cl.room_id, cl.event_id, CAST(min(hops) AS INTEGER) AS distance FROM cl JOIN ev c ON c.event_id = cl.ancestor_id AND c.seq = 0 GROUP BY ALL
 UNION ALL SELECT room_id, event_id, 0 FROM ev WHERE seq = 0""")
 def auth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
-    return g.distances(g.closure(x.auth), x.events)
+    return g.distances(x.auth, x.events)
 
 
-@query(""", inner_ AS (SELECT * FROM ev WHERE seq >= 5), e2 AS (SELECT a.child AS x, a.parent AS y FROM auth a JOIN inner_ i ON i.event_id = a.parent JOIN inner_ j ON j.event_id = a.child),
+@query(""", inner_ AS (SELECT * FROM ev WHERE type = 'm.room.message' OR type = 'm.room.topic'), e2 AS (SELECT a.child AS x, a.parent AS y FROM prev a JOIN inner_ i ON i.event_id = a.parent JOIN inner_ j ON j.event_id = a.child),
 und AS (SELECT x, y FROM e2 UNION SELECT y, x FROM e2),
 reach AS (SELECT event_id, event_id AS other FROM inner_ UNION SELECT r.event_id, u.y FROM reach r JOIN und u ON u.x = r.other)
 SELECT i.room_id, r.event_id, arg_min(i.event_id, i.depth * 1000000000 + i.event_id) AS root FROM reach r JOIN inner_ i ON i.event_id = r.other GROUP BY ALL""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components by authority among the events after a room's first block."""
+    """Runs of talk: components by timeline among messages and topics, which administrative events part."""
     x = Graph(spark, sf_dir)
-    return g.components(x.events.where("seq >= 5"), x.auth)
+    return g.components(x.events.where("type IN ('m.room.message', 'm.room.topic')"), x.prev)
+
+
+@query(""", edges AS (SELECT child, parent FROM prev UNION SELECT child, parent FROM auth), und AS (SELECT child AS x, parent AS y FROM edges UNION SELECT parent, child FROM edges),
+reach AS (SELECT event_id, event_id AS other FROM ev UNION SELECT r.event_id, u.y FROM reach r JOIN und u ON u.x = r.other)
+SELECT i.room_id, r.event_id, arg_min(i.event_id, i.depth * 1000000000 + i.event_id) AS root FROM reach r JOIN ev i ON i.event_id = r.other GROUP BY ALL""")
+def components_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components by timeline and authority over all events."""
+    x = Graph(spark, sf_dir)
+    return g.components(x.events, x.prev.select("room_id", "child", "parent").union(x.auth.select("room_id", "child", "parent")))
+
+
+@query(""", walk AS (SELECT room_id, event_id, 1 AS n FROM ev WHERE event_id NOT IN (SELECT child FROM prev) UNION SELECT w.room_id, p.child, w.n + 1 FROM walk w JOIN prev p ON p.parent = w.event_id)
+SELECT room_id, event_id, CAST(max(n) AS INTEGER) AS depth FROM walk GROUP BY ALL""")
+def naive_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's depth made anew from the timeline alone."""
+    x = Graph(spark, sf_dir)
+    return g.depths(x.events, x.prev)
 
 
 @query(""" SELECT room_id, CAST(min(depth) AS BIGINT) AS min_depth, CAST(max(depth) AS BIGINT) AS max_depth, count(*) AS events, CAST(sum(parents) AS BIGINT) AS refs, CAST(max(parents) AS BIGINT) AS max_parents

@@ -30,7 +30,8 @@ SELECT ev.room_id, count(*) AS total_events, any_value(state_size) AS state_size
 def summary_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
     edges = x.prev.select("room_id", "child", "parent").union(x.auth.select("room_id", "child", "parent"))
-    return r.scalars(x.events, s.last_per_key(x.events), g.closure(x.auth), g.components(x.events, edges))
+    state = s.last_per_key(x.events)
+    return r.scalars(x.events, state, g.reachable(x.auth, state, strict=True), g.components(x.events, edges))
 
 
 @query(""", txt AS (SELECT room_id, event_id, depth, ts, sender, CASE type
@@ -72,7 +73,11 @@ def source_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.scores(copies[0].unionByName(copies[1]).unionByName(copies[2]).distinct(), truth, 3)
 
 
-@query()
+@query(_SRC + """, tg AS (SELECT DISTINCT CAST(src AS INTEGER) AS src, event_id FROM src),
+p0 AS (SELECT src, count(*) AS adds FROM tg GROUP BY 1 ORDER BY adds DESC, src LIMIT 1),
+l1 AS (SELECT * FROM tg WHERE event_id NOT IN (SELECT event_id FROM tg JOIN p0 USING (src))), p1 AS (SELECT src, count(*) AS adds FROM l1 GROUP BY 1 ORDER BY adds DESC, src LIMIT 1),
+l2 AS (SELECT * FROM l1 WHERE event_id NOT IN (SELECT event_id FROM l1 JOIN p1 USING (src))), p2 AS (SELECT src, count(*) AS adds FROM l2 GROUP BY 1 ORDER BY adds DESC, src LIMIT 1)
+SELECT CAST(0 AS INTEGER) AS pick, src, adds FROM p0 UNION ALL SELECT 1, src, adds FROM p1 UNION ALL SELECT 2, src, adds FROM p2""")
 def source_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial copies picked greedily until all events are covered, and what each adds."""
     tagged = [x.select(F.lit(k).alias("src"), "event_id") for k, x in enumerate(_sources(spark, sf_dir))]
@@ -127,7 +132,7 @@ UNION ALL SELECT DISTINCT cl.room_id, 'auth_chain', ancestor_id FROM cl JOIN st
 def federation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Graph(spark, sf_dir)
     state = s.last_per_key(x.events)
-    chain = g.chains(g.closure(x.auth), state).select("room_id", "event_id").distinct()
+    chain = g.reachable(x.auth, state, strict=True).select("room_id", "event_id")
     return state.select("room_id", F.lit("state").alias("part"), "event_id").unionAll(chain.select("room_id", F.lit("auth_chain").alias("part"), "event_id"))
 
 

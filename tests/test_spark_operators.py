@@ -1,12 +1,14 @@
 """Set-based operators against the kernel, sources, table functions and the stream."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from forkweave.functions import content, tables
-from forkweave.operators import auth, graph, kernel as k, resolve as r, state as s
+from forkweave.operators import auth, graph, kernel as k, order, resolve as r, state, state as s
 from forkweave.sources import events as src, generate
 
 JOINED = {"!r0", "!r1"}
@@ -64,7 +66,85 @@ def test_states_and_reach(spark, records):
     edges = records.select("room_id", F.col("event_id").alias("child"), F.explode("auth_events").alias("parent"))
     seeds = records.where("depth = 60").select("room_id", "event_id")
     loop = {(x.room_id, x.event_id) for x in graph.reach(spark, edges, seeds).collect()}
-    assert loop == {tuple(x) for x in graph.from_seeds(graph.closure(edges), seeds).collect()}
+    assert loop == {(x.room_id, x.event_id) for x in graph.reachable(edges, seeds).collect()}
+
+
+def test_walks_match_the_closure(spark, records):
+    edges = records.select("room_id", F.col("event_id").alias("child"), F.explode("auth_events").alias("parent"))
+    closed = {(x.room_id, x.event_id, x.ancestor_id): x.hops for x in graph.closure(edges).collect()}
+    seeds = records.where("depth % 17 = 3").select("room_id", "event_id")
+    starts = {tuple(x) for x in seeds.collect()}
+    for most in (None, 1, 2):
+        near = {(r, y): min(n for (q, x, z), n in closed.items() if (q, z) == (r, y) and (q, x) in starts) for (r, x, y) in closed if (r, x) in starts}
+        below = starts | {k for k, n in near.items() if most is None or n <= most}
+        above = starts | {(r, x) for (r, x, y) in closed if (r, y) in starts}
+        assert {(x.room_id, x.event_id) for x in graph.reachable(edges, seeds, most).collect()} == below
+        assert {tuple(x) for x in graph.subgraph(edges, seeds, most).collect()} == below & above
+    assert {(x.room_id, x.event_id): x.hops for x in graph.reachable(edges, seeds, strict=True).collect()} == near
+    assert {tuple(x) for x in graph.chains(edges, seeds).collect()} == {(r, x, y) for (r, x, y) in closed if (r, x) in starts}
+
+
+def test_a_long_room_is_walked_in_linear_time(spark):
+    """One linear room of 10,000 events: walks, chains, positions, depths and domination take seconds."""
+    n = 10_000
+    e = spark.range(n).select(F.lit(1).alias("room_id"), F.col("id").alias("event_id"), (F.col("id") + 1).alias("depth"))
+    prev = e.where("event_id > 0").select("room_id", F.col("event_id").alias("child"), (F.col("event_id") - 1).alias("parent"))
+    head = e.where(f"event_id = {n - 1}")
+    began = time.time()
+    assert graph.reachable(prev, head).agg(F.max("hops")).first()[0] == n - 1
+    assert graph.chains(prev, head).count() == n - 1
+    assert graph.subgraph(prev, e.where(f"event_id in (0, {n - 1})")).count() == n
+    assert graph.depths(e, prev).agg(F.max("depth")).first()[0] == n
+    assert graph.merge_base(prev, e.where(f"event_id >= {n - 2}"), e).first().event_id == n - 2
+    levels = e.withColumns({"type": F.when(F.col("event_id") % 10 == 0, "m.room.power_levels").otherwise("m.room.topic"), "state_key": F.lit(""), "ts": F.col("event_id")})
+    top = levels.where("event_id = 9990")
+    at = {x.event_id: x.position for x in order.mainline_positions(levels, prev.withColumn("ord", F.lit(0)), top).collect()}
+    assert all(at[i] == 999 - i // 10 for i in range(n))
+    chain = state.linear_chain(levels, 100)
+    whole = state.reconstruct(chain, state.snapshots(chain), chain.select("room_id", F.col("seq").alias("target")))
+    assert whole.count() == n + n - 1
+    assert time.time() - began < 60
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    big = 9007199254740993
+    e = spark.createDataFrame([(1, big, 1), (1, big + 2, 2), (2, 5, 1)], "room_id long, event_id long, depth long")
+    edges = spark.createDataFrame([(1, big + 2, big)], "room_id long, child long, parent long")
+    assert {tuple(x) for x in graph.components(e, edges).collect()} == {(1, big, big), (1, big + 2, big), (2, 5, 5)}
+    levels = e.withColumns({"type": F.lit("m.room.power_levels"), "state_key": F.lit("")})
+    line = order.mainline(levels, edges.withColumn("ord", F.lit(0)), levels.where(f"event_id = {big + 2}"))
+    assert {tuple(x) for x in line.collect()} == {(1, big + 2, 0), (1, big, 1)}
+
+
+def test_domination_matches_plain_python(spark):
+    rng = random.Random(5)
+    rows, edges = [], []
+    for room in range(6):
+        for i in range(40):
+            x = room * 100 + i
+            for p in rng.sample(range(i), min(i, rng.randint(0, 2))):
+                edges.append((room, x, room * 100 + p))
+            kind = rng.choice(["m.room.member", "m.room.power_levels", "m.room.join_rules", "m.room.topic"])
+            user, target = rng.choice("abc"), rng.choice("abc")
+            membership = rng.choice(["join", "ban", "leave"]) if kind == "m.room.member" else None
+            rows.append((room, x, kind, target if kind == "m.room.member" else "", user, i, rng.choice([0, 50]), membership, rng.choice(["invite", "public"]) if kind == "m.room.join_rules" else None, [rng.choice("abc")] if kind == "m.room.power_levels" else []))
+    df = spark.createDataFrame(rows, "room_id long, event_id long, type string, state_key string, sender string, ts long, power_level long, membership string, join_rule string, demoted array<string>")
+    got = {tuple(x) for x in order.domination_candidates(df, spark.createDataFrame(edges, "room_id long, child long, parent long")).collect()}
+    below = {r[1]: set() for r in rows}
+    for r in rows:
+        for room, x, p in edges:
+            if x == r[1]:
+                below[x] |= {p} | below[p]
+    rank = lambda r: (-r[6], {"m.room.power_levels": 0, "m.room.join_rules": 1}.get(r[2], 2), r[5], r[1])
+    want = set()
+    for a in rows:
+        for t in rows:
+            if a[0] != t[0] or rank(a) >= rank(t) or t[1] in below[a[1]] or a[1] in below[t[1]]:
+                continue
+            removes = a[2] == "m.room.member" and a[7] in ("ban", "leave") and a[3] != a[4] and a[3] == t[4]
+            if removes or (a[2] == "m.room.power_levels" and t[4] in a[9]) or (a[8] == "invite" and t[7] == "join"):
+                want.add((a[0], a[1], t[1]))
+    assert got == want and len(got) > 50
 
 
 def test_content_types(spark):
