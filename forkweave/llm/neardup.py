@@ -5,7 +5,7 @@ a text without words an empty set, which links with nothing. Equal sets form a c
 doc_id; all else works on classes.
 
 1. Inverted lists: each of a class's KEYS smallest hashes is a key. Two sets of similarity t miss each other only if none
-   of the KEYS smallest hashes of their union is in both: (1 - t)^KEYS, 7e-14 at 0.85.
+   of the KEYS smallest hashes of their union is in both: (1 - t)^KEYS, 6e-9 at 0.85, 1e-7 at 0.80.
 2. Round one links each list's members to its smallest member, a hub, so it makes as many candidates as list entries.
    Union sketches of SKETCH hashes estimate the similarity and filter far below the threshold; exact Jaccard on full sets
    confirms. Confirmed links give components.
@@ -13,12 +13,19 @@ doc_id; all else works on classes.
 3. Round two compares the members of a list that are in different components, in blocks: first by sketches, which tells
    who has a candidate at all, then those by full sets. A pair is met in the list of its smallest common key alone. A
    block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT members (a passage that many documents share) is compared
-   only among classes with at most MISSES keys that are not hot: any other pair meets in a list that is not hot, with the
-   same kind of bound as in 1. Such lists are cut by set size, as similar sets have similar sizes, and into blocks.
-
-Defined results: a null text has no words; a null doc_id links with nothing, has a null component_id and is kept; rows
-that share a doc_id are judged by their own texts; repeated rows are kept; an empty table gives no rows; further columns
-are not read.
+   only among classes with at most MISSES keys that are not hot: any other pair meets in a list that is not hot, unless
+   all that it shares is hot and yet more than MISSES of the KEYS keys of one lie in what the other lacks, at most 1.3e-4
+   at 0.85 and 8.6e-4 at 0.80, and no hub or chain links them. Such lists are cut by set size, as similar sets have
+   similar sizes, and into blocks.
+
+The estimate that a candidate must reach is 5.5 standard errors below the threshold: of pairs at the threshold itself it
+rejects about 4e-6. Sets hold 64-bit hashes of runs and classes go by 128 bits of their sets, so "equal" and "exact" hold
+but for collisions: two of n different runs share a hash with a chance below n^2 / 2^65.
+
+Defined results of link(): a null text has no words; a null doc_id links with nothing, has a null component_id and is
+kept; ids of any 64 bits are kept as they are; rows that share a doc_id are judged by their own texts; repeated rows are
+kept; ties of similarity at the threshold are links; texts of any length are one set, held whole by one task; an empty
+table gives no rows; further columns are not read. Of survivors(): see there.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, bounded_batches
+from .common import bounded_batches, flagged, saved, scratch
 from .components import components, forest
 from .textnum import Words, batches
 
@@ -50,19 +57,18 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def sketches(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h (the text's hash), n (set size), key (of the set), sketch (its smallest hashes, ascending)."""
+    """doc_id (null: 0), no_doc_id, h (the text's hash), n (set size), key (of the set), sketch (its smallest hashes, ascending)."""
     bounded_batches(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
-            ids = b["doc_id"]
             for first, texts in batches(b["text"].tolist()):
                 sets = Words(texts).shingle_sets(words)
                 low = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]  # signed, in the same order
                 at = slice(first, first + len(texts))
-                yield pd.DataFrame({"doc_id": ids.iloc[at].to_numpy(), "h": b["h"].iloc[at].to_numpy(), "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "sketch": low})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at].to_numpy(), "no_doc_id": b["no_doc_id"].iloc[at].to_numpy(), "h": b["h"].iloc[at].to_numpy(), "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "sketch": low})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, key binary, sketch array<long>")
+    return docs.select(*flagged("doc_id"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, no_doc_id boolean, h long, n long, key binary, sketch array<long>")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -309,8 +315,14 @@ def _blocks(open_: DataFrame, least: float) -> DataFrame:
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept: documents whose sets have den * intersection >= num * union are linked."""
+    bounded_batches(spark)
+    with scratch(spark):
+        return saved(spark, _link(spark, docs, words, num, den), "linked", lasting=True)
+
+
+def _link(spark: SparkSession, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     least = num / den
-    rows = saved(spark, sketches(spark, docs, words), "sketches")
+    rows = saved(spark, sketches(spark, docs, words), "sketches").withColumn("doc_id", F.when(~F.col("no_doc_id"), F.col("doc_id")))
     known = rows.where("doc_id is not null and n > 0")
     reps = saved(spark, known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     values = reps.select("rep", "n", F.least(F.size("sketch"), F.lit(KEYS)).alias("own"), F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
@@ -339,7 +351,6 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
     dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, keys array<long>"), "met")
     sets = _sets(spark, docs, met.select("rep"), reps, words)
-    bounded_batches(spark)
     full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")
 
@@ -351,11 +362,23 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, de
 
 
 def survivors(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the documents that are not kept: of each group, the one with the smallest doc_id stays."""
-    found = saved(spark, link(spark, docs, words, num, den).select("doc_id", "h", "kept"), "linked")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h"))
-    out = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    """docs without the documents that are not kept: of each group, the one with the smallest doc_id stays.
+
+    Of rows that share both doc_id and text one stays, that whose columns as JSON come first. Rows with a null doc_id, or
+    without words, stay all but for such repeats of a doc_id that is not null. Columns of any name pass as they are.
+    """
+    with scratch(spark):
+        found = link(spark, docs, words, num, den).select("doc_id", "h", "kept").where("doc_id is not null")
+        gone = saved(spark, found.where(~F.col("kept")).select("doc_id", "h").distinct(), "gone", lasting=True)
+        twice = found.where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "h")
+        twice = saved(spark, twice, "twice", lasting=True)
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # the user's columns in a struct: no name of theirs meets one of these
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(bounded(gone), ["doc_id", "h"], "left_anti")
+    if twice.isEmpty():
+        return rows.select("row.*")
+    twice = bounded(twice)
+    once = rows.join(twice, ["doc_id", "h"], "left_anti").select("row")
+    again = rows.join(twice, ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionAll(again.select("row")).select("row.*")

@@ -12,8 +12,10 @@ Offsets come from the lengths of what lies between matches (split) and of the ma
 Patterns are possessive and cannot start inside a run they failed on, so they are linear in the text.
 
 Defined results: a null text counts as empty (no spans); equal texts count once as evidence and get equal spans; repeated
-rows are kept; term spans that touch base spans are dropped; an empty table gives no rows; further columns are kept
-(names that start with pii_ are the operator's own).
+rows are kept; a null or repeated doc_id changes nothing (texts alone count); term spans that overlap base spans are
+dropped; of spans that overlap, the first by start, then kind, is replaced and the rest of the other goes with it; texts
+of any length are searched whole; an empty table gives no rows; further columns are kept, but for those named pii_text,
+pii_key, pii_base, pii_spans, pii_terms or pii_near, which the operator makes anew.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -33,6 +35,8 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 CONTEXT = 80
+#: Spans in a slice of a fold.
+CHUNK = 64
 #: Broadcast tables up to this many rows; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 #: The same for disclosing terms.
@@ -44,11 +48,33 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), value made once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """An array in slices of CHUNK: folds over a slice copy little, so that the work is in proportion to the array."""
+
+    def cut(it: Column) -> Column:
+        last = F.size(it) - 1
+        part = lambda c: F.transform(F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK - 1, last)), lambda i: F.get(it, i))
+        none = F.filter(F.array(it), lambda _: F.lit(False))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")), part)).otherwise(none)
+
+    return _bound(items, cut)
+
+
+def _running(values: Column, add, start: int = 0) -> Column:
+    """The fold of the values before each one, then of all: one more than there are values."""
+    first = F.array(F.lit(start).cast("long"))
+    return F.aggregate(values, first, lambda acc, v: F.concat(acc, F.array(add(F.element_at(acc, -1), v))))
+
+
 def _matches(text: Column, pattern: Column, kind: int) -> Column:
     """Spans of all leftmost matches, with code-point offsets."""
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     parts = F.zip_with(F.split(text, pattern, -1), hits, lambda s, h: F.struct(F.length(s).cast("long").alias("skip"), F.length(h).cast("long").alias("size"), h.alias("value")))
-    parts = F.filter(parts, lambda p: p["value"].isNotNull())
     none = F.array().cast(SPAN)
 
     def add(acc: Column, p: Column) -> Column:
@@ -56,7 +82,12 @@ def _matches(text: Column, pattern: Column, kind: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + p["size"]).alias("end"), p["value"].alias("value"))
         return F.struct((start + p["size"]).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
+    def placed(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, p: acc + p["skip"] + p["size"]))
+        return F.zip_with(chunks, _running(sums, lambda a, v: a + v), lambda c, base: F.struct(c.alias("c"), base.alias("base")))
+
+    both = F.filter(_bound(_chunks(F.filter(parts, lambda p: p["value"].isNotNull())), placed), lambda x: x["c"].isNotNull())
+    return F.flatten(F.transform(both, lambda x: F.aggregate(x["c"], F.struct(x["base"].alias("pos"), none.alias("out")), add, lambda acc: acc["out"])))
 
 
 def _luhn(digits: Column) -> Column:
@@ -147,10 +178,15 @@ def term_spans(marked: DataFrame, risky: DataFrame) -> DataFrame:
 def spans(spark: SparkSession, docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """docs with pii_base and pii_spans (base and term spans, by start, then kind)."""
     marked = found(docs) if marked is None else marked
-    terms = saved(spark, term_spans(marked, disclosing(spark, marked)), "term-spans")
-    out = marked.join(_bounded(terms), "pii_key", "left")
-    clear = F.filter("pii_terms", lambda h: ~F.exists("pii_base", lambda b: (h["start"] < b["end"]) & (b["start"] < h["end"])))
-    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.coalesce(clear, F.array().cast(SPAN))))).drop("pii_terms")
+    with scratch(spark):
+        terms = saved(spark, term_spans(marked, disclosing(spark, marked)), "term-spans", lasting=True)
+    out = marked.drop("pii_terms", "pii_near").join(_bounded(terms), "pii_key", "left")
+    meets = lambda h, b: (h["start"] < b["end"]) & (b["start"] < h["end"])
+    ends = lambda c: F.array_max(F.transform(c, lambda b: b["end"]))
+    near = F.transform(_chunks(F.col("pii_base")), lambda c: F.struct(F.element_at(c, 1)["start"].alias("start"), ends(c).alias("end"), c.alias("c")))
+    out = out.withColumn("pii_near", F.when(F.size("pii_base") > 0, near))
+    clear = F.filter("pii_terms", lambda h: ~F.coalesce(F.exists("pii_near", lambda n: meets(h, n) & F.exists(n["c"], lambda b: meets(h, b))), F.lit(False)))
+    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.coalesce(clear, F.array().cast(SPAN))))).drop("pii_terms", "pii_near")
 
 
 def listed(spans: str) -> Column:
@@ -163,13 +199,22 @@ def sanitised(marked: DataFrame) -> DataFrame:
     """marked with its text freed of all spans: base kinds and general terms as [KIND], removed terms as nothing."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("pii_text")
+    long = lambda v: F.lit(v).cast("long")
+    cut = lambda s, at, n: F.substring(s, (at + 1).cast("int"), F.greatest(n, long(0)).cast("int"))
 
-    def add(acc: Column, s: Column) -> Column:
-        cut = F.substring(text, (acc["pos"] + 1).cast("int"), F.greatest(s["start"] - acc["pos"], F.lit(0)).cast("int"))
+    def add(acc: Column, s: Column, piece: Column, base: Column) -> Column:
+        before = cut(piece, acc["pos"] - base, s["start"] - acc["pos"])
         word = F.when((s["kind"] == 4) & (s["value"] == ""), "").otherwise(F.element_at(names, s["kind"] + 1))
         inside = s["start"] < acc["pos"]  # it overlaps the span before
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.when(inside, "").otherwise(F.concat(cut, word))).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    freed = F.aggregate("pii_spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.length(text))))
-    return marked.withColumn("text", F.when(F.col("text").isNull() | (F.size("pii_spans") == 0), F.col("text")).otherwise(freed))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.when(inside, "").otherwise(F.concat(before, word))).alias("out"))
+
+    # each slice of spans works on its own piece of the text, from where the slices before it end
+    def freed(chunks: Column, bounds: Column) -> Column:
+        placed = F.zip_with(chunks, F.slice(bounds, 1, F.size(chunks)), lambda c, lo: F.struct(c.alias("c"), lo.alias("lo")))
+        placed = F.zip_with(placed, F.slice(bounds, 2, F.size(chunks)), lambda x, hi: F.struct(x["c"].alias("c"), x["lo"].alias("lo"), cut(text, x["lo"], hi - x["lo"]).alias("piece")))
+        out = F.transform(placed, lambda x: F.aggregate(x["c"], F.struct(x["lo"].alias("pos"), F.lit("").alias("out")), lambda acc, s: add(acc, s, x["piece"], x["lo"]), lambda acc: acc["out"]))
+        return F.concat(F.array_join(out, ""), cut(text, F.element_at(bounds, -1), F.length(text).cast("long")))
+
+    tops = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, long(0), lambda acc, s: F.greatest(acc, s["end"])))
+    whole = _bound(_chunks(F.col("pii_spans")), lambda c: _bound(_running(tops(c), lambda a, v: F.greatest(a, v)), lambda b: freed(c, b)))
+    return marked.withColumn("text", F.when(F.col("text").isNull() | (F.size("pii_spans") == 0), F.col("text")).otherwise(whole))

@@ -3,9 +3,11 @@
 The trees are learnt from a bounded, deterministic sample of labelled rows (parameter `most`), flattened into arrays
 and walked by vectorised numpy for every text of the table. Only the text is an input.
 
-Defined results: null and empty texts score by the same trees as texts without words; repeated rows score alike;
-without labelled rows, or with one class only, the score is that class's clipped share (0.5 without rows); an empty
-table gives no rows; further columns are kept as they are unless named score, which is replaced.
+Defined results: null and empty texts score by the same trees as texts without words; a null doc_id matters to no
+score; repeated rows and equal texts score alike; a score of exactly the threshold is predicted 1; texts of any length
+are scored whole, one at a time; without labelled rows, or with one class only, the score is that class's clipped share
+(0.5 without rows); an empty table gives no rows; further columns are kept as they are unless named score, which is
+replaced.
 """
 
 from __future__ import annotations

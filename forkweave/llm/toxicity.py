@@ -2,12 +2,14 @@
 
 Features: densities of a fixed and a learnt lexicon (stems of words and their odds among labelled texts), lexicon
 words near second-person words, rates of capitals, punctuation and obfuscation (digits or signs inside words, spaced
-letters). The learnt lexicon and the trees come from a bounded, deterministic sample of labelled rows (parameter
-`most`); calibration uses scores of trees that have not seen the row's fold.
-
-Defined results: null and empty texts score as texts without words; repeated rows score alike; without labelled rows,
-or with one class only, every score is that class's clipped share before calibration; an empty table gives no rows;
-further columns are kept unless named score, which is replaced.
+letters). The learnt lexicon (the `size` = 4000 terms of the highest odds) and the trees come from a bounded,
+deterministic sample of labelled rows (parameter `most`); calibration uses scores of lexicons and trees that have not
+seen the row's fold. Folds go by the text's hash, so that copies share one.
+
+Defined results: null and empty texts score as texts without words; a null doc_id matters to no score; repeated rows and
+equal texts score alike, ties of odds go by count, then hash; texts of any length are scored whole, one at a time; without
+labelled rows, or with one class only, every score is that class's clipped share before calibration; an empty table gives
+no rows; further columns are kept unless named score, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import saved, bounded_batches
+from .common import bounded_batches, saved, scratch
 from .learn import labelled, scored
 from .textnum import LOWER, SPACE, Words, batches, mix
 
@@ -29,6 +31,7 @@ MOST = 20_000
 INSULTS = "idiot moron stupid dumb loser scum trash clown pathetic worthless disgusting imbecile fool ugly vermin filth".split()
 SECOND = "you your yours yourself you're youre u du dich dir dein deine deinen ihr euch tu toi te ton ta tes vous votre vos usted ustedes ti tú vosotros".split()
 STEMS = (4, 5, 6, 7)
+FOLDS = 3
 _LEET = LOWER.copy()
 for _a, _b in zip("013457@$!", "oieastasi", strict=True):
     _LEET[ord(_a)] = ord(_b)
@@ -39,17 +42,15 @@ _LETTER[48:58] = False
 
 
 class Cores(Words):
-    """Words without signs at either end, at most three; words of signs alone are left as they are."""
+    """Words without signs at either end; words of signs alone are left as they are."""
 
     def __init__(self, texts: list[bytes]):
         super().__init__(texts)
+        like = np.flatnonzero(_WORDLIKE[self.buf])
+        low, high = np.searchsorted(like, self.start), np.searchsorted(like, self.end)
+        some = high > low
         self.core_start, self.core_end = self.start.copy(), self.end.copy()
-        for _ in range(3):
-            more = self.core_end - self.core_start > 1
-            cut = more & ~_WORDLIKE[self.buf[self.core_end - 1]]
-            self.core_end[cut] -= 1
-            cut = (self.core_end - self.core_start > 1) & ~_WORDLIKE[self.buf[self.core_start]]
-            self.core_start[cut] += 1
+        self.core_start[some], self.core_end[some] = like[low[some]], like[high[some] - 1] + 1
 
     def stems(self, sums: np.ndarray) -> list[np.ndarray]:
         """Hashes of the first bytes of each core, 0 where it is shorter, and of the whole core."""
@@ -99,9 +100,11 @@ def features(texts: list[bytes], learnt: Lexicon, fixed: Lexicon, second: Lexico
     insult = fixed(stems[-1]) > 0
     inner = np.concatenate([[0], np.cumsum(~_LETTER[w.buf])])
     odd = (inner[w.core_end] - inner[w.core_start] > 0) & _LETTER[w.buf[w.core_start]]
-    plain = w.span(w.sums(_LEET), w.core_start[odd], w.core_end[odd])
+    # a word with signs or digits anywhere, with those read as the letters that they stand for, with its ends and without
+    mixed = np.flatnonzero(inner[w.end] - inner[w.start] > 0)
+    sums = w.sums(_LEET)
     masked = np.zeros(len(w.start), bool)
-    masked[odd] = fixed(plain) > 0
+    masked[mixed] = ((fixed(w.span(sums, w.core_start[mixed], w.core_end[mixed])) > 0) | (fixed(w.span(sums, w.start[mixed], w.end[mixed])) > 0)) & ~insult[mixed]
     bad = (odds > 0) | insult | masked
     you = second(stems[-1]) > 0
     # words from the last second-person word of the same text, and to the next
@@ -140,14 +143,13 @@ class Model:
         return np.interp(self.trees.score(self.features(texts).astype(np.float64)), *self.curve)
 
 
-def lexicon(sample: DataFrame, size: int = 4000, least: int = 4) -> Lexicon:
-    """The stems and words with the highest odds among toxic texts, at most `size`; equal texts count once."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """h, and for each fold pos_k and n_k: in how many toxic and in how many different texts of the fold each term is. sample: with fold."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
         for b in parts:
-            y = b["y"].to_numpy()
-            hs, ps = [], []
+            y, folds = b["y"].to_numpy(), b["fold"].to_numpy(np.int64)
+            hs, ps, fs = [], [], []
             for first, texts in batches(b["text"].tolist()):
                 w = Cores(texts)
                 h = np.concatenate(w.stems(w.sums()))
@@ -159,16 +161,29 @@ def lexicon(sample: DataFrame, size: int = 4000, least: int = 4) -> Lexicon:
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 hs.append(h[new])
                 ps.append(y[first + d[new]])
+                fs.append(folds[first + d[new]])
             if hs:
                 keys, at = np.unique(np.concatenate(hs), return_inverse=True)
-                pos = np.bincount(at, np.concatenate(ps), len(keys)).astype(np.int64)
-                yield pd.DataFrame({"h": keys.view(np.int64), "pos": pos, "n": np.bincount(at, minlength=len(keys))})
-
-    once = sample.groupBy(F.xxhash64("text").alias("k")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
-    counts = once.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
-    pos, neg = float(counts["p"] or 0), float(counts["n"] - (counts["p"] or 0))
-    terms = once.select("y", "text").mapInPandas(run, "h long, pos long, n long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    odds = F.log((F.col("pos") + 0.1) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.1) / (neg + 1))
+                pos, k = np.concatenate(ps), np.concatenate(fs)
+                out = {"h": keys.view(np.int64)}
+                for f in range(FOLDS):
+                    out[f"pos_{f}"] = np.bincount(at[k == f], pos[k == f], len(keys)).astype(np.int64)
+                    out[f"n_{f}"] = np.bincount(at[k == f], minlength=len(keys))
+                yield pd.DataFrame(out)
+
+    once = sample.groupBy(F.xxhash64("text").alias("k")).agg(F.max("y").alias("y"), F.first("fold").alias("fold"), F.first("text").alias("text"))
+    names = [f"{x}_{f}" for f in range(FOLDS) for x in ("pos", "n")]
+    terms = once.select("y", "fold", "text").mapInPandas(run, "h long, " + ", ".join(f"{c} long" for c in names))
+    return terms.groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def lexicon(terms: DataFrame, texts: dict[int, tuple[int, int]], without: int | None = None, size: int = 4000, least: int = 4) -> Lexicon:
+    """The stems and words with the highest odds among toxic texts, at most `size`, but for one fold. texts: toxic and all texts of each fold."""
+    folds = [f for f in range(FOLDS) if f != without]
+    pos, n = sum(texts.get(f, (0, 0))[0] for f in folds), sum(texts.get(f, (0, 0))[1] for f in folds)
+    total = lambda x: sum((F.col(f"{x}_{f}") for f in folds), F.lit(0))
+    terms = terms.select("h", total("pos").alias("pos"), total("n").alias("n"))
+    odds = F.log((F.col("pos") + 0.1) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.1) / (n - pos + 1))
     top = terms.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") > 2)).orderBy(F.desc("odds"), F.desc("pos"), "h").limit(size).toPandas()
     return Lexicon(top["h"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(np.float64))
 
@@ -176,25 +191,32 @@ def lexicon(sample: DataFrame, size: int = 4000, least: int = 4) -> Lexicon:
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Model:
     """The model from the labelled sample; its features (at most `most` rows) come to the driver."""
     bounded_batches(spark)
-    sample = saved(spark, labelled(docs, labels, label, most), "labelled")
-    model = Model(lexicon(sample), None, None)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in parts:
-            ids, y = b["doc_id"].to_numpy(), b["y"].to_numpy()
-            for first, texts in batches(b["text"].tolist()):
-                x = model.features(texts)
-                yield pd.DataFrame({"doc_id": ids[first : first + len(texts)], "y": y[first : first + len(texts)], "x": [r.tobytes() for r in x]})
-
-    rows = sample.mapInPandas(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "x"])
-    y = rows["y"].to_numpy(np.float64)
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1).astype(np.float64) if len(rows) else np.zeros((0, 1))
-    part = rows["doc_id"].to_numpy() % 3
+    with scratch(spark):
+        fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+        sample = saved(spark, labelled(docs, labels, label, most).withColumn("fold", fold), "labelled")
+        counts = sample.groupBy(F.xxhash64("text"), "fold").agg(F.max("y").alias("y")).groupBy("fold").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
+        texts = {r["fold"]: (int(r["p"] or 0), int(r["n"])) for r in counts}
+        terms = saved(spark, term_counts(sample), "terms")
+        # the last model has all folds, the others leave one out
+        models = [Model(lexicon(terms, texts, f), None, None) for f in [*range(FOLDS), None]]
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in parts:
+                ids, y, folds = b["doc_id"].to_numpy(), b["y"].to_numpy(), b["fold"].to_numpy()
+                for first, raw in batches(b["text"].tolist()):
+                    x = np.stack([m.features(raw) for m in models], 1)
+                    at = slice(first, first + len(raw))
+                    yield pd.DataFrame({"doc_id": ids[at], "y": y[at], "fold": folds[at], "x": [r.tobytes() for r in x]})
+
+        rows = sample.mapInPandas(run, "doc_id long, y int, fold int, x binary").toPandas().sort_values(["doc_id", "x"])
+    y, part = rows["y"].to_numpy(np.float64), rows["fold"].to_numpy()
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), FOLDS + 1, -1).astype(np.float64) if len(rows) else np.zeros((0, FOLDS + 1, 1))
     unseen = np.zeros(len(rows))
-    for k in range(3):
-        if (part == k).any():
-            unseen[part == k] = gbt.fit(x[part != k], y[part != k], trees=60, depth=3).score(x[part == k])
-    model.trees, model.curve = gbt.fit(x, y, trees=60, depth=3), gbt.isotonic(unseen, y)
+    for f in range(FOLDS):
+        if (part == f).any():
+            unseen[part == f] = gbt.fit(x[part != f, f], y[part != f], trees=60, depth=3).score(x[part == f, f])
+    model = models[-1]
+    model.trees, model.curve = gbt.fit(x[:, -1], y, trees=60, depth=3), gbt.isotonic(unseen, y)
     return model
 
 

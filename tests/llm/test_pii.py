@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import time
 
 from forkweave.llm import pii
 from pyspark.sql import functions as F
@@ -54,6 +57,77 @@ def test_rare_entities_and_writings(spark, monkeypatch):
     assert [r[0] for r in norm] == ["4111111111", "13865", "1.0.20.0", "a@b.c"]
 
 
+def test_many_spans_of_one_text(spark):
+    """Spans in slices: whole against folds by plain Python, and in time that follows their number."""
+    texts = [" ".join(f"m{i}@x.yz +1 386 555 {i:04d} ü" for i in range(n)) for n in (31, 32, 33, 64, 65, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = pii.spans(spark, df)
+    got = {r.doc_id: (r.s, r.t) for r in pii.sanitised(out).select("doc_id", pii.listed("pii_base").alias("s"), F.col("text").alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == brute(t)
+        want, pos = "", 0
+        for span in brute(t).split(","):
+            kind, s, e = span.split(":")
+            if int(s) >= pos:
+                want, pos = want + t[pos : int(s)] + f"[{kind.upper()}]", int(e)
+            pos = max(pos, int(e))
+        assert got[i][1] == want + t[pos:]
+
+    def seconds(n):
+        df = spark.createDataFrame([(0, "a@b.cd " * n)], "doc_id int, text string")
+        began = time.time()
+        text = pii.sanitised(pii.found(df).withColumn("pii_spans", F.col("pii_base"))).first().text
+        assert text == "[EMAIL] " * n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.3)
+
+
+def test_overlaps_and_own_columns(spark):
+    df = spark.createDataFrame([(1, "1.1.1.1@a.b 4111111111111111@x.y", "mine")], "doc_id long, text string, pii_terms string").withColumn("pii_near", F.lit(1)).withColumn("pii_text", F.lit("t"))
+    r = pii.sanitised(pii.spans(spark, df)).first()
+    assert r.text == "[EMAIL] [EMAIL]" and r.pii_text.startswith("1.1")
+
+
+def test_shares_match_brute_force(spark):
+    """Shares over all different texts, counted by plain Python."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmn"]
+    texts = []
+    for i in range(120):
+        w = [rng.choice(words) for _ in range(rng.randint(3, 12))]
+        if i % 3 == 0:
+            w.insert(rng.randint(0, len(w)), f"u{rng.randint(0, 9)}@mail.org")
+        texts.append(" ".join(w))
+    texts += texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = pii.found(df)
+    got = {r.term: r.share for r in pii.disclosing(spark, marked, generalise=-10.0).collect()}
+    once = sorted(set(texts))
+    terms_of = [{w for w in re.split(r"[^a-z]+", t.lower()) if len(w) >= 3} for t in once]
+    entity, near = [], []
+    for t in once:
+        m = re.search(r"u[0-9]@mail\.org", t)
+        entity.append(m and m.group())
+        around = t[max(0, m.start() - 80) : m.start()] + "\n" + t[m.end() : m.end() + 80] if m else ""
+        if m and m.start() > 80:
+            around = re.sub(r"^[a-z]+", "", around)
+        if m and len(t) - m.end() >= 80:
+            around = re.sub(r"[a-z]+$", "", around)
+        near.append({w for w in re.split(r"[^a-z]+", around) if len(w) >= 3})
+    n = len(once)
+    want: dict = {}
+    for e in {x for x in entity if x}:
+        with_e = entity.count(e)
+        for term in set().union(*(near[i] for i in range(n) if entity[i] == e)):
+            both = sum(entity[i] == e and term in near[i] for i in range(n))
+            with_t = sum(term in s for s in terms_of)
+            given = both / with_t if both >= 3 else (both + with_e / n) / (with_t + 1)
+            want[term] = max(want.get(term, -99.0), math.log(given * n / with_e) / math.log(n / with_e))
+    assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     plan = pii.spans(spark, df)._jdf.queryExecution().executedPlan().toString()
