@@ -283,11 +283,11 @@ def check(e: Event, find: Lookup, version: str, verify: Callable[[str, Event], s
     return None
 
 
-def check_in_order(events: Iterable[Event], state: dict[Key, Event], version: str) -> tuple[list, list[tuple[Any, Refusal]]]:
+def check_in_order(events: Iterable[Event], state: dict[Key, Event], version: str, verify=None) -> tuple[list, list[tuple[Any, Refusal]]]:
     """Accepted and refused ids of events applied one after the other."""
     state, yes, no = dict(state), [], []
     for e in events:
-        refusal = check(e, lambda t, k: state.get((t, k)), version)
+        refusal = check(e, lambda t, k: state.get((t, k)), version, verify)
         if refusal:
             no.append((e.id, refusal))
             continue
@@ -600,10 +600,10 @@ class Step:
 class Resolution:
     """One conflict, resolved step by step. unconflicted: agreed state; context: events to look up authority in."""
 
-    def __init__(self, unconflicted: State, conflicted: dict, context: dict, version: str):
+    def __init__(self, unconflicted: State, conflicted: dict, context: dict, version: str, verify=None):
         if version not in VERSIONS:
             raise ValueError(f"unknown version: {version}")
-        self.agreed, self.context, self.version = unconflicted, context, version
+        self.agreed, self.context, self.version, self.verify = unconflicted, context, version, verify
         self.disputed = set(conflicted)
         self.conflicted = surviving(conflicted, context) if version == "V2_1_1" else dict(conflicted)
         self.known = Chain(self.conflicted, context)
@@ -636,7 +636,7 @@ class Resolution:
         view = View(self.resolved, self.conflicted, self.context, self.create, self.version, power)
         for e in events:
             view.local = local_authority(e, self.conflicted, self.context, self.version)
-            ok = check(e, view, self.version) is None
+            ok = check(e, view, self.version, self.verify) is None
             if e.key is None:
                 continue
             if not power or e.id in self.disputed:
@@ -668,13 +668,23 @@ class Resolution:
         rank = lambda e: (-at.get(e.id, len(line)), e.ts, e.id)
         for e in rest.values():
             view.local = local_authority(e, self.conflicted, self.context, self.version)
-            if e.key is not None and check(e, view, self.version) is None and (e.key not in best or rank(e) > rank(best[e.key])):
+            if e.key is not None and check(e, view, self.version, self.verify) is None and (e.key not in best or rank(e) > rank(best[e.key])):
                 best[e.key] = e
         return {**self.agreed, **self.resolved, **{k: e.id for k, e in best.items()}}
 
 
-def resolve(unconflicted: State, conflicted: dict, context: dict, version: str) -> State:
-    return Resolution(unconflicted, conflicted, context, version).run()
+def resolve(unconflicted: State, conflicted: dict, context: dict, version: str, verify=None) -> State:
+    return Resolution(unconflicted, conflicted, context, version, verify).run()
+
+
+def resolve_checkpoint(snapshot: State, conflicted: dict, context: dict, version: str, verify=None) -> State:
+    """resolve() over a trusted snapshot. The authority of the conflicted events must be known down to its end: what lacks raises."""
+    known = Chain(conflicted, context)
+    chain = reach(conflicted, lambda x: e.auth if (e := known.get(x)) else ())
+    missing = sorted(str(x) for x in chain if known.get(x) is None)
+    if missing:
+        raise ValueError(f"the authority of the conflicted events is incomplete: {', '.join(missing[:5])}")
+    return resolve(snapshot, conflicted, context, version, verify)
 
 
 def resolve_traced(unconflicted: State, conflicted: dict, context: dict, version: str) -> tuple[State, list[Step]]:
@@ -733,7 +743,7 @@ def stamp_levels(events: dict, version: str) -> None:
         e.power = users.get(e.sender, default)
 
 
-def resolve_heads(heads: list, events: dict, version: str) -> State:
+def resolve_heads(heads: list, events: dict, version: str, verify=None) -> State:
     """The state that a room's heads resolve to: disputed entries, what the heads' chains differ in and, in V2_1 and V2_1_1, the subgraph."""
     agreed, disputed = partition([last_state(h, events) for h in heads])
     chains = [chain_of([h], events) - {h} for h in heads if h in events]
@@ -741,7 +751,7 @@ def resolve_heads(heads: list, events: dict, version: str) -> State:
     wanted = disputed | differ
     if version in ("V2_1", "V2_1_1"):
         wanted |= subgraph(events, disputed)[0]
-    return resolve(agreed, {x: events[x] for x in wanted if x in events}, events, version)
+    return resolve(agreed, {x: events[x] for x in wanted if x in events}, events, version, verify)
 
 
 def merge_states(states: list[State], events: dict, version: str) -> State:

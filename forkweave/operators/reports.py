@@ -125,6 +125,33 @@ def greedy_cover(spark: SparkSession, tagged: DataFrame) -> DataFrame:
     return spark.createDataFrame(picks, "pick int, src int, adds long")
 
 
+def compared(ours: DataFrame, oracle: DataFrame, events: DataFrame) -> DataFrame:
+    """room_id, outcome, entries: how a resolved state stands to another one of the same keys.
+
+    same; absent: the other's event is not among the events, so that ours could not be the same; differs; added: a key of
+    ours alone; lost: a key of the other's alone, whose event is among the events.
+    """
+    key = ["room_id", "type", "state_key"]
+    known = events.select("room_id", F.col("event_id").alias("theirs"), F.lit(True).alias("known"))
+    both = ours.select(*key, F.col("event_id").alias("ours")).join(oracle.select(*key, F.col("event_id").alias("theirs")), key, "full_outer").join(known, ["room_id", "theirs"], "left")
+    outcome = F.when(F.col("theirs").isNull(), "added").when(F.col("ours") == F.col("theirs"), "same").when(F.col("known").isNull(), "absent").when(F.col("ours").isNull(), "lost").otherwise("differs")
+    return both.groupBy("room_id", outcome.alias("outcome")).agg(F.count("*").alias("entries"))
+
+
+def unlike(ours: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that only one of two outputs has, with side (ours or other); none if they are the same."""
+    a, b = ours.select(*columns), other.select(*columns)
+    return a.exceptAll(b).withColumn("side", F.lit("ours")).unionByName(b.exceptAll(a).withColumn("side", F.lit("other")))
+
+
+def accuracy(states: DataFrame, canonical: DataFrame, by: str = "src") -> DataFrame:
+    """by, hits, accuracy_ppm: the share of the canonical state's ids that each state has, in millionths."""
+    total = canonical.select("event_id").distinct().agg(F.count("*").alias("total"))
+    hits = states.select(by, "event_id").distinct().join(canonical.select("event_id").distinct(), "event_id", "left_semi").groupBy(by).agg(F.count("*").alias("hits"))
+    out = states.select(by).distinct().join(hits, by, "left").crossJoin(F.broadcast(total))  # one row
+    return out.select(by, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.round(F.coalesce("hits", F.lit(0)) * 1e6 / F.col("total")).cast("long").alias("accuracy_ppm"))
+
+
 def auth_lint(events: DataFrame, auth: DataFrame, version: str) -> DataFrame:
     """room_id, event_id, auth_id, severity of auth events that a version does not expect."""
     kinds = events.select("room_id", F.col("event_id").alias("parent"), F.col("type").alias("kind"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +32,80 @@ def _run(records: DataFrame, fn, columns: str) -> DataFrame:
     return by_room(records.select(*COLUMNS), fn, f"room_id {room}, {columns}")
 
 
-def resolved(records: DataFrame, version: str, stamp: bool | None = None) -> DataFrame:
-    """room_id, type, state_key, event_id: what each room's heads resolve to. stamp: write senders' levels into events first."""
+def resolved(records: DataFrame, version: str, stamp: bool | None = None, verify: Callable | None = None) -> DataFrame:
+    """room_id, type, state_key, event_id: what each room's heads resolve to.
+
+    stamp: write senders' levels into events first. verify(step, event) may give a reason to refuse an event; it runs in
+    the task that holds the room.
+    """
     stamp = version in ("V1", "V2", "V2_2") if stamp is None else stamp
 
     def run(room, rows):
         events = events_of(rows)
         if stamp:
             k.stamp_levels(events, version)
-        return [(room, *key, x) for key, x in sorted(k.resolve_heads(k.heads_of(events), events, version).items())]
+        return [(room, *key, x) for key, x in sorted(k.resolve_heads(k.heads_of(events), events, version, verify).items())]
+
+    return _run(records, run, "type string, state_key string, event_id string")
+
+
+def _with_state(records: DataFrame, marked: DataFrame, state: DataFrame) -> DataFrame:
+    """records with mark (of marked: room_id, event_id, mark), then the entries of a state as rows with mark -1."""
+    kind = dict(records.select(*COLUMNS).dtypes)
+    rows = records.select(*COLUMNS).join(marked, ["room_id", "event_id"], "left").select(*COLUMNS, F.col("mark").cast("long").alias("mark"))
+    given = {"room_id", "type", "state_key", "event_id"}
+    entries = state.select(*[F.col(c).cast(kind[c]).alias(c) if c in given else F.lit(None).cast(kind[c]).alias(c) for c in COLUMNS], F.lit(-1).cast("long").alias("mark"))
+    return rows.unionByName(entries)
+
+
+def from_checkpoint(records: DataFrame, snapshot: DataFrame, conflicted: DataFrame, version: str, verify: Callable | None = None) -> DataFrame:
+    """room_id, type, state_key, event_id: each room's trusted snapshot with its conflicted events resolved onto it.
+
+    snapshot: room_id, type, state_key, event_id; conflicted: room_id, event_id. records hold the conflicted events and
+    all their authority; where some lacks, the job fails and names it. Snapshot entries need not be among the records.
+    """
+    room = records.schema["room_id"].dataType.simpleString()
+    rows = _with_state(records, conflicted.select("room_id", "event_id").distinct().withColumn("mark", F.lit(1)), snapshot)
+
+    def run(key, rows):
+        events = events_of(r for r in rows if r[-1] != -1)
+        base = {(r[2], r[3]): r[1] for r in rows if r[-1] == -1}
+        disputed = {r[1]: events[r[1]] for r in rows if r[-1] == 1}
+        return [(key, *at, x) for at, x in sorted(k.resolve_checkpoint(base, disputed, events, version, verify).items())]
+
+    return by_room(rows, run, f"room_id {room}, type string, state_key string, event_id string")
+
+
+def checked_chain(records: DataFrame, order: DataFrame, state: DataFrame, version: str, verify: Callable | None = None) -> DataFrame:
+    """room_id, pos, event_id, accepted, code, required, actual, message: events applied one after the other onto a state.
+
+    order: room_id, event_id, pos; state: room_id, type, state_key, event_id of records.
+    """
+    room = records.schema["room_id"].dataType.simpleString()
+    rows = _with_state(records, order.select("room_id", "event_id", F.col("pos").alias("mark")), state)
+
+    def run(key, rows):
+        events = events_of(r for r in rows if r[-1] != -1)
+        base = {(r[2], r[3]): events[r[1]] for r in rows if r[-1] == -1 and r[1] in events}
+        chain = sorted((r[-1], r[1]) for r in rows if r[-1] is not None and r[-1] != -1)
+        _, refused = k.check_in_order((events[x] for _, x in chain), base, version, verify)
+        why = dict(refused)
+        for pos, x in chain:
+            no = why.get(x)
+            yield (key, pos, x, True, None, None, None, None) if no is None else (key, pos, x, False, no.code, no.required, no.actual, str(no))
+
+    return by_room(rows, run, f"room_id {room}, pos long, event_id string, accepted boolean, code string, required long, actual long, message string")
+
+
+def power_phase(records: DataFrame, version: str) -> DataFrame:
+    """room_id, type, state_key, event_id: each room's agreed entries and what the power phase over its disputed ones resolves."""
+
+    def run(room, rows):
+        events = events_of(rows)
+        agreed, disputed = k.partition([k.last_state(h, events) for h in k.heads_of(events)])
+        r = k.Resolution(agreed, {x: events[x] for x in disputed}, events, version)
+        r.power_phase()
+        return [(room, *key, x) for key, x in sorted({**agreed, **r.resolved}.items())]
 
     return _run(records, run, "type string, state_key string, event_id string")
 
@@ -125,14 +190,52 @@ def delta_report(records: DataFrame, version: str) -> DataFrame:
     return _run(records, run, "seq int, event_id string, hash string, parent string, n_deltas int, deltas string")
 
 
+def rebuilt(chain: DataFrame, targets: DataFrame) -> DataFrame:
+    """room_id, seq, type, state_key, event_id: the states at targets (room_id, seq) of any chain, also one with gaps or strange parents.
+
+    chain: room_id, seq, parent_hash, state_hash, is_snapshot, entries (JSON: lists of type, state_key, event_id or null).
+    A row's parent is the row before it if the hashes agree, else the last earlier one that does; a target whose chain is
+    broken has no rows.
+    """
+    room = chain.schema["room_id"].dataType.simpleString()
+    asked = targets.select("room_id", F.col("seq").cast("long").alias("seq")).distinct().withColumn("asked", F.lit(True))
+    rows = chain.select("room_id", F.col("seq").cast("long").alias("seq"), "state_hash", "parent_hash", "is_snapshot", "entries").join(asked, ["room_id", "seq"], "left")
+
+    def run(key, rows):
+        links = []
+        for _, seq, state, parent, whole, entries, _ in rows:
+            items = [tuple(x) for x in json.loads(entries)]
+            links.append(k.Checkpoint(state, parent, seq, [] if whole else items, {(t, s): x for t, s, x in items} if whole else None))
+        for n, r in enumerate(rows):
+            if r[6]:
+                for at, x in sorted((k.rebuild(links, n) or {}).items()):
+                    yield key, r[1], *at, x
+
+    return by_room(rows.select("room_id", "seq", "state_hash", "parent_hash", "is_snapshot", "entries", "asked"), run, f"room_id {room}, seq long, type string, state_key string, event_id string", order=("seq",))
+
+
+def for_each_state(states: DataFrame, write: Callable[[object, str, dict], None]) -> None:
+    """Hands each target's state (of states_at) to write(room_id, target, {(type, state_key): event_id}), in the task that has its room."""
+    room = states.schema["room_id"].dataType.simpleString()
+
+    def run(key, rows):
+        write(key[0], key[1], {(r[2], r[3]): r[4] for r in rows})
+        return [(key[0], len(rows))]
+
+    rows = states.select("room_id", "target", "type", "state_key", "event_id")
+    by_room(rows, run, f"room_id {room}, entries int", keys=("room_id", "target")).write.format("noop").mode("overwrite").save()
+
+
 def compacted(records: DataFrame, version: str, most: int = 100) -> DataFrame:
-    """Checkpoints of each room's states in topological order: seq, state_hash, parent_hash, event_id, is_snapshot, n_entries, rebuilds."""
+    """Checkpoints of each room's states in topological order: seq, state_hash, parent_hash, event_id, is_snapshot, n_entries, rebuilds, entries (JSON)."""
 
     def run(room, rows):
         events = events_of(rows)
         order = k.order_by_prev(events, events)
         states = dict(k.states_at(order, events, version))
         chain = k.compact(((x, states[x]) for x in order), most)
-        return [(room, n, c.state_hash, c.parent_hash, c.event_id, c.snapshot is not None, len(c.deltas if c.snapshot is None else c.snapshot), k.rebuild(chain, n) == states[c.event_id]) for n, c in enumerate(chain)]
+        for n, c in enumerate(chain):
+            entries = c.deltas if c.snapshot is None else [(*at, x) for at, x in sorted(c.snapshot.items())]
+            yield room, n, c.state_hash, c.parent_hash, c.event_id, c.snapshot is not None, len(entries), k.rebuild(chain, n) == states[c.event_id], json.dumps(entries, separators=(",", ":"))
 
-    return _run(records, run, "seq int, state_hash string, parent_hash string, event_id string, is_snapshot boolean, n_entries int, rebuilds boolean")
+    return _run(records, run, "seq int, state_hash string, parent_hash string, event_id string, is_snapshot boolean, n_entries int, rebuilds boolean, entries string")

@@ -90,6 +90,13 @@ def reconstruct(chain: DataFrame, whole: DataFrame, targets: DataFrame) -> DataF
     return base.unionByName(later).groupBy("room_id", "target", "type", "state_key").agg(F.max_by("event_id", "seq").alias("event_id"))
 
 
+def reconstruct_events(chain: DataFrame, whole: DataFrame, events: DataFrame) -> DataFrame:
+    """room_id, event_id, type, state_key, entry: the states at events (room_id, event_id), each at its first place in the chain."""
+    at = chain.join(events.select("room_id", "event_id").distinct(), ["room_id", "event_id"]).groupBy("room_id", "event_id").agg(F.min("seq").cast("long").alias("target"))
+    out = reconstruct(chain, whole, at).withColumnRenamed("event_id", "entry")
+    return at.join(out, ["room_id", "target"]).select("room_id", "event_id", "type", "state_key", "entry")
+
+
 def merge_sources(sources: list[DataFrame], order: str = "event_id") -> DataFrame:
     """All sources' events, each once, from the first source that has it; src tells which. Events without an id go."""
     tagged = [s.withColumn("src", F.lit(k)) for k, s in enumerate(sources)]

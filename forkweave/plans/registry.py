@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import authority, graphs, reports, resolutions, states  # noqa: E402, F401
+from . import authority, cases, graphs, ingest, reports, resolutions, states  # noqa: E402, F401

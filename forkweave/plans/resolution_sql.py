@@ -114,13 +114,18 @@ _SUBGRAPH = """ UNION SELECT d.room_id, d.event_id FROM (SELECT cl.room_id, ance
   JOIN (SELECT cl.event_id FROM cl JOIN part p ON p.event_id = cl.ancestor_id AND p.is_conflicted) u ON u.event_id = d.event_id"""
 
 
-def resolved(version: str) -> str:
-    """What each room's heads resolve to."""
+def resolved_as(version: str) -> str:
+    """CTE res: room_id, key, id of what each room's heads resolve to."""
     wanted = _DISPUTED + _DIFFER + (_SUBGRAPH if version == "V2_1" else "")
     # levels are stamped first in V1, V2 and V2_2: the creator's events without levels in sight have 100
     sql = _until_lines(version, wanted, 0 if version == "V2_1" else 100) + _fold(version, "fold2", "mid", "ord2", False)
-    return sql + f""", done AS (SELECT f.room_id, map_concat(a.st, arg_max(f.st, f.i)) AS st FROM fold2 f JOIN agreed a USING (room_id) GROUP BY f.room_id, a.st)
-SELECT room_id, {_ENTRY} FROM (SELECT room_id, unnest(map_entries(st)) AS e FROM done)"""
+    return sql + """, done AS (SELECT f.room_id, map_concat(a.st, arg_max(f.st, f.i)) AS st FROM fold2 f JOIN agreed a USING (room_id) GROUP BY f.room_id, a.st),
+res AS (SELECT room_id, e.key, e.value AS id FROM (SELECT room_id, unnest(map_entries(st)) AS e FROM done))"""
+
+
+def resolved(version: str) -> str:
+    """What each room's heads resolve to."""
+    return resolved_as(version) + f" SELECT e.room_id, {_ENTRY} FROM (SELECT room_id, key, id AS value FROM res) e"
 
 
 def lattice(version: str) -> str:

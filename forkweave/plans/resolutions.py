@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import formats, graph, lattice, reports
 from ..operators import resolve as r
 from ..operators.state import last_per_key
 from ..sources import derived as d
@@ -34,6 +35,48 @@ def resolve_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.lattice(d.records(spark, sf_dir), "V2")
 
 
+@query(sql.lattice("V2"))
+def resolve_lattice_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-key fold with everything but the power phase as joins and aggregates."""
+    return lattice.fold(d.records(spark, sf_dir), "V2")
+
+
+_CHAIN = ", chain AS (SELECT res.room_id, count(DISTINCT ancestor_id) AS n FROM res JOIN cl ON cl.event_id = res.id GROUP BY 1)"
+
+
+@query(sql.resolved_as("V2") + _CHAIN + f""" SELECT res.room_id, 'success' AS status, 'V2' AS version, count(*) AS resolved_state_size, any_value(n) AS auth_chain_size, string_agg({sql.NAME.format("id")}, ',' ORDER BY split_part(key, '|', 1), substr(key, strpos(key, '|') + 1)) AS state_event_ids
+FROM res JOIN chain USING (room_id) GROUP BY res.room_id""")
+def default_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default report, by the dispatcher."""
+    return formats.report(d.records(spark, sf_dir), "V2").withColumn("state_event_ids", F.array_join("state_event_ids", ","))
+
+
+_ORACLE = ", orc AS (SELECT room_id, type || '|' || state_key AS key, arg_min(event_id, event_id - depth * 1000000000) AS theirs FROM ev WHERE state_key IS NOT NULL AND type <> 'm.room.topic' GROUP BY ALL)"
+
+
+@query(sql.resolved_as("V2") + _ORACLE + """ SELECT room_id, outcome, count(*) AS entries FROM (SELECT coalesce(res.room_id, orc.room_id) AS room_id, CASE WHEN theirs IS NULL THEN 'added' WHEN id = theirs THEN 'same' WHEN theirs IN (SELECT event_id FROM ev WHERE membership = 'ban') THEN 'absent' WHEN id IS NULL THEN 'lost' ELSE 'differs' END AS outcome
+  FROM res FULL JOIN orc ON res.room_id = orc.room_id AND res.key = orc.key) GROUP BY ALL""")
+def oracle_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved states against the events of the greatest depth, which lack topics; bans count as not exported."""
+    rows = d.records(spark, sf_dir)
+    state = rows.where("state_key IS NOT NULL AND type <> 'm.room.topic'")
+    oracle = state.groupBy("room_id", "type", "state_key").agg(F.max_by("event_id", F.struct(F.col("depth"), -F.substring("event_id", 2, 20).cast("long"))).alias("event_id"))
+    events = rows.where("NOT (type = 'm.room.member' AND content LIKE '%\"ban\"%')")
+    return reports.compared(r.resolved(rows, "V2"), oracle, events)
+
+
+@query(sql.resolved_as("V2") + """, total AS (SELECT count(DISTINCT id) AS n FROM res), src AS (SELECT CAST(head % 50 - 48 AS INTEGER) AS src, event_id FROM st)
+SELECT src, count(DISTINCT res.id) AS hits, CAST(round(count(DISTINCT res.id) * 1e6 / any_value(n)) AS BIGINT) AS accuracy_ppm FROM src LEFT JOIN res ON res.id = src.event_id, total GROUP BY src""")
+def state_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the resolved state each head has by itself."""
+    rows = d.records(spark, sf_dir)
+    prev = lattice.edges(rows, "prev_events")
+    met = graph.chains(prev, graph.heads(rows, prev), reflexive=True).withColumnRenamed("start", "head")
+    last = last_per_key(met.join(rows.select("room_id", "event_id", "type", "state_key", "depth"), ["room_id", "event_id"]), "room_id", "head")
+    states = last.withColumn("src", (F.substring("head", 2, 20).cast("long") % d.ROOM - 48).cast("int"))
+    return reports.accuracy(states, r.resolved(rows, "V2"))
+
+
 @query(sql.traced("V2"))
 def resolution_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.trace(d.records(spark, sf_dir), "V2")
@@ -66,7 +109,7 @@ def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compacted_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.compacted(d.records(spark, sf_dir), "V2", 10)
+    return r.compacted(d.records(spark, sf_dir), "V2", 10).drop("entries")
 
 
 def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +135,7 @@ def state_at_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
   e.seq % 10 = 0 AS is_snapshot, CAST(CASE WHEN e.seq % 10 = 0 THEN (SELECT count(*) FROM held WHERE held.target = e.event_id) ELSE CASE WHEN e.state_key IS NULL THEN 0 ELSE 1 END END AS INTEGER) AS n_entries, true AS rebuilds FROM hashes h JOIN ev e ON e.event_id = h.target""")
 def compacted_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compacted chains of rooms without forks, with 128-bit hashes of every state."""
-    return r.compacted(_linear(spark, sf_dir), "V2", 10)
+    return r.compacted(_linear(spark, sf_dir), "V2", 10).drop("entries")
 
 
 @query(_AT + sql.hashed("named", "room_id, target", 64) + f""" SELECT h.room_id, CAST(e.seq AS INTEGER) AS seq, {sql.NAME.format('e.event_id')} AS event_id, h.h AS hash, lag(h.h) OVER (PARTITION BY h.room_id ORDER BY e.seq) AS parent,
@@ -100,3 +143,10 @@ def compacted_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_report_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delta report of rooms without forks, with 64-bit hashes of every state."""
     return r.delta_report(_linear(spark, sf_dir), "V2")
+
+
+@query(_AT + " SELECT n.room_id, e.seq, n.type, n.state_key, n.event_id FROM named n JOIN ev e ON e.event_id = n.target")
+def rebuilt_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states at every link of the compacted chains, found by their hashes."""
+    chain = r.compacted(_linear(spark, sf_dir), "V2", 10)
+    return r.rebuilt(chain, chain)

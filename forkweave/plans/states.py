@@ -74,6 +74,15 @@ def reconstruct_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.reconstruct(chain, s.snapshots(chain), targets).withColumn("target", F.col("target").cast("long"))
 
 
+@query(_CHAIN + """, t AS (SELECT room_id, event_id, seq FROM ch WHERE type = 'm.room.power_levels')
+SELECT t.room_id, t.event_id, ch.type, ch.state_key, arg_max(ch.event_id, ch.seq) AS entry FROM t JOIN ch ON ch.room_id = t.room_id AND ch.seq <= t.seq WHERE ch.state_key IS NOT NULL GROUP BY ALL""")
+def reconstruct_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states at every change of the power levels."""
+    e = d.events(spark, sf_dir)
+    chain = s.linear_chain(e, 10)
+    return s.reconstruct_events(chain, s.snapshots(chain), e.where("type = 'm.room.power_levels'"))
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     e = d.events(spark, sf_dir).select("event_id", "room_id", "type", "ts")
     kinds = ("m.room.message", "m.room.topic", "m.room.member")

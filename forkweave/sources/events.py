@@ -170,6 +170,28 @@ def exported(records: DataFrame, heads: DataFrame, most_heads: int = 20) -> Data
     return base.join(kinds, "room_id").join(tops, "room_id", "left")
 
 
+def mapped(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Records from any table of events: names gives the table's column for a column of RECORD; the others get its own or a default."""
+    out = []
+    for field in RECORD.split(", "):
+        name, kind = field.split(" ", 1)
+        if (own := names.get(name, name)) in rows.columns:
+            value = F.col(f"`{own}`").cast(kind)
+        else:
+            value = F.lit(None).cast(kind)
+        otherwise = {"array<string>": F.array().cast(kind), "bigint": F.lit(0).cast(kind)}.get(kind, F.lit("{}") if name == "content" else None)
+        out.append((value if otherwise is None else F.coalesce(value, otherwise)).alias(name))
+    return rows.select(*out)
+
+
+def write_report(report: DataFrame, path: str, pretty: bool = False) -> None:
+    """A report as JSON lines; pretty: each row spread over lines, for reading."""
+    if not pretty:
+        report.write.json(path)
+        return
+    report.select(F.to_json(F.struct(*report.columns), {"pretty": "true"}).alias("value")).write.text(path)
+
+
 def chase(records: DataFrame, fetch, rounds: int = 3) -> DataFrame:
     """records with referenced auth events that were missing, fetched in at most `rounds` rounds. fetch(ids DataFrame) -> records."""
     for _ in range(rounds):

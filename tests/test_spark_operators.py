@@ -5,10 +5,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forkweave.functions import content, tables
-from forkweave.operators import auth, graph, kernel as k, order, resolve as r, state, state as s
+from forkweave.functions import content, settings, tables
+from forkweave.operators import auth, formats, graph, kernel as k, order, reports, resolve as r, state, state as s
 from forkweave.sources import events as src, generate
 
 JOINED = {"!r0", "!r1"}
@@ -213,3 +214,62 @@ def test_stream(spark, records, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     last = out.where("n_events = 60").select("room_id", "type", "state_key", "event_id")
     assert {tuple(x) for x in last.collect()} == {tuple(x) for x in r.resolved(rows, "V2_1", stamp=False).collect()}
+
+
+def test_checkpoints_verifiers_and_sinks(spark, records, tmp_path):
+    rooms = rooms_of(records)
+    snapshot, wanted, want = [], [], {}
+    for room, events in rooms.items():
+        agreed, disputed = k.partition([k.last_state(h, events) for h in k.heads_of(events)])
+        snapshot += [(room, *key, x) for key, x in agreed.items()] + [(room, "x.trusted", "", "$unknown")]
+        wanted += [(room, x) for x in disputed]
+        base = {**agreed, ("x.trusted", ""): "$unknown"}
+        want[room] = k.resolve(base, {x: events[x] for x in disputed}, events, "V2")
+    snap = spark.createDataFrame(snapshot, "room_id string, type string, state_key string, event_id string")
+    ids = spark.createDataFrame(wanted, "room_id string, event_id string")
+    got: dict = {}
+    for x in r.from_checkpoint(records, snap, ids, "V2").collect():
+        got.setdefault(x.room_id, {})[x.type, x.state_key] = x.event_id
+    assert got == want
+    cut = records.where("type <> 'm.room.create'")
+    with pytest.raises(Exception, match="is incomplete"):
+        r.from_checkpoint(cut, snap, ids, "V2").collect()
+    order = records.select("room_id", "event_id", F.row_number().over(Window.partitionBy("room_id").orderBy("depth", "event_id")).cast("long").alias("pos"))
+    empty = snap.limit(0)
+    plain = {(x.room_id, x.event_id): x.accepted for x in r.checked_chain(records, order, empty, "V2").collect()}
+    for room, events in rooms.items():
+        yes, _ = k.check_in_order(sorted(events.values(), key=lambda e: (e.depth, e.id)), {}, "V2")
+        assert {x for (q, x), ok in plain.items() if q == room and ok} == set(yes)
+    strict = r.checked_chain(records, order, empty, "V2", verify=lambda step, e: "bad signature" if step == "signatures" and e.type == "m.room.topic" else None)
+    why = {(x.type if hasattr(x, "type") else x.message) for x in strict.join(records.select("room_id", "event_id", "type"), ["room_id", "event_id"]).where("type = 'm.room.topic'").select("message").distinct().collect()}
+    assert why == {"InvalidSyntax: bad signature"}
+    no_topics = r.resolved(records, "V2_1", verify=lambda step, e: "no" if e.type == "m.room.topic" else None)
+    assert no_topics.count() < r.resolved(records, "V2_1").count()
+    target = str(tmp_path)
+    states = r.states_at(records, records.where("depth = 30"), "V2")
+
+    def write(room, at, state):
+        with open(f"{target}/{room}-{at}".replace("!", "").replace("$", ""), "w") as f:
+            f.write(str(len(state)))
+
+    r.for_each_state(states, write)
+    assert len(list(tmp_path.iterdir())) == states.select("room_id", "target").distinct().count() > 0
+
+
+def test_formats_settings_and_reports(spark, records, tmp_path):
+    rows = {kind: formats.report(records, "V2", kind, origin="here").count() for kind in formats.FORMATS}
+    assert rows["default"] == 6 and rows["events"] <= rows["federation"] and rows["deltas"] == records.count() and rows["timeline"] > 0
+    with pytest.raises(ValueError, match="unknown format"):
+        formats.report(records, "V2", "pdf")
+    one = formats.report(records, "V2").where("room_id = '!r0'")
+    src.write_report(one, f"{tmp_path}/plain")
+    src.write_report(one, f"{tmp_path}/pretty", pretty=True)
+    text = "".join(p.read_text() for p in (tmp_path / "pretty").glob("part*"))
+    assert json.loads(text)["status"] == "success" and text.count("\n") > 5
+    assert settings.settings(spark).version == "V2"
+    spark.conf.set("forkweave.version", "V9")
+    with pytest.raises(ValueError, match="V9"):
+        settings.settings(spark)
+    spark.conf.unset("forkweave.version")
+    ours = r.resolved(records, "V2")
+    assert reports.unlike(ours, ours, ours.columns).isEmpty() and reports.unlike(ours, ours.limit(3), ours.columns).count() == ours.count() - 3
