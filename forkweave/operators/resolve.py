@@ -27,9 +27,14 @@ def events_of(rows: Iterable[tuple]) -> dict:
     return {r[1]: k.Event(r[1], r[2], r[3], r[4] or "", r[5] or 0, r[6] or 0, r[7] or 0, tuple(r[8] if r[8] is not None else ()), tuple(r[9] if r[9] is not None else ()), _json(r[10])) for r in rows}
 
 
+def lean(records: DataFrame) -> DataFrame:
+    """COLUMNS without the content of messages: no resolution reads it, and a task holds a room."""
+    return records.select(*COLUMNS[:-1], F.when(F.col("state_key").isNotNull() | (F.col("type") == k.CREATE), F.col("content")).alias("content"))
+
+
 def _run(records: DataFrame, fn, columns: str) -> DataFrame:
     room = records.schema["room_id"].dataType.simpleString()
-    return by_room(records.select(*COLUMNS), fn, f"room_id {room}, {columns}")
+    return by_room(lean(records), fn, f"room_id {room}, {columns}")
 
 
 def resolved(records: DataFrame, version: str, stamp: bool | None = None, verify: Callable | None = None) -> DataFrame:
@@ -137,7 +142,7 @@ def trace(records: DataFrame, version: str) -> DataFrame:
 def states_at(records: DataFrame, targets: DataFrame, version: str) -> DataFrame:
     """room_id, target, type, state_key, event_id: the state after each known target (room_id, event_id)."""
     asked = targets.select("room_id", "event_id").distinct().withColumn("asked", F.lit(True))
-    rows_in = records.select(*COLUMNS).join(asked, ["room_id", "event_id"], "left").select(*COLUMNS, "asked")
+    rows_in = lean(records).join(asked, ["room_id", "event_id"], "left").select(*COLUMNS, "asked")
     room_type = records.schema["room_id"].dataType.simpleString()
 
     def run(room, rows):

@@ -203,6 +203,8 @@ def test_table_functions(spark, records):
 def test_stream(spark, records, tmp_path):
     from forkweave.streaming import rooms
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rooms.STORE)
+
     rows = records.select(*r.COLUMNS).where(F.col("room_id").isin(*JOINED)).cache()
     rows.where("depth > 40").coalesce(1).write.parquet(f"{tmp_path}/in/a")  # late events first
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
