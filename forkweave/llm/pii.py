@@ -37,15 +37,17 @@ PATTERNS = (
 CONTEXT = 80
 #: Spans in a slice of a fold.
 CHUNK = 64
-#: Broadcast tables up to this many rows; larger ones are joined by shuffle.
+#: Broadcast the term spans of up to this many texts; of more, the texts that have some are joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Broadcast keys of texts up to this many (two numbers each), to tell which texts to move; beyond it, all texts are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: The same for disclosing terms.
 BROADCAST_TERMS = 200_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _within(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _bound(value: Column, use) -> Column:
@@ -117,10 +119,14 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.when(g, s).otherwise(none) for g, s in zip(gates, ok, strict=True)]))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with pii_text (never null) and pii_key (its hash)."""
+    return docs.withColumn("pii_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("pii_key", F.xxhash64("pii_text"))
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """docs with pii_text (never null), pii_key (its hash) and pii_base."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("pii_text", text).withColumn("pii_key", F.xxhash64("pii_text")).withColumn("pii_base", base_spans(F.col("pii_text")))
+    """docs with pii_text, pii_key and pii_base."""
+    return keyed(docs).withColumn("pii_base", base_spans(F.col("pii_text")))
 
 
 def _terms(text: Column) -> Column:
@@ -145,13 +151,15 @@ def disclosing(spark: SparkSession, marked: DataFrame, support: int = 3, general
     seen = own.select("pii_key", entity.alias("entity"), F.explode(F.array_distinct(_terms(F.concat_ws("\n", before, after)))).alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"))
     entities = own.select("pii_key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # rows with equal texts share one count among them, so that a term is counted once for each different text
+    # a term is counted once for each different text: in every row, less the repeats of texts that repeat, which alone move
     keys = marked.groupBy("pii_key").agg(F.count("*").alias("copies"))
     total = keys.count()
     copies = saved(spark, keys.where("copies > 1"), "copies")
-    weighed = marked.select("pii_key", "pii_text").join(_bounded(copies), "pii_key", "left").withColumn("part", 1.0 / F.coalesce("copies", F.lit(1)))
-    words = weighed.select("pii_key", "part", F.explode(F.array_distinct(_terms(F.col("pii_text")))).alias("term"))
-    spread = words.groupBy("term").agg(F.round(F.sum("part")).alias("with_term"))
+    texts = marked.select("pii_key", "pii_text")
+    repeated = texts.join(_within(copies, BROADCAST_KEYS), "pii_key").groupBy("pii_key").agg(F.first("pii_text").alias("pii_text"), F.first("copies").alias("copies"))
+    distinct = F.explode(F.array_distinct(_terms(F.col("pii_text")))).alias("term")
+    counts = texts.select(distinct, F.lit(1).cast("long").alias("part")).unionAll(repeated.select(distinct, (1 - F.col("copies")).alias("part")))
+    spread = counts.groupBy("term").agg(F.sum("part").alias("with_term"))
     n = F.lit(float(max(total, 2)))
     own_bits = F.ln(n / F.col("with_entity"))
     given = F.when(F.col("both") >= support, F.col("both") / F.col("with_term")).otherwise((F.col("both") + F.col("with_entity") / n) / (F.col("with_term") + 1))
@@ -161,7 +169,7 @@ def disclosing(spark: SparkSession, marked: DataFrame, support: int = 3, general
 
 
 def term_spans(marked: DataFrame, risky: DataFrame) -> DataFrame:
-    """pii_key, pii_terms: the term spans of each different text that holds disclosing terms. marked: of found()."""
+    """pii_key, pii_terms: the term spans of each different text that holds disclosing terms. marked: of keyed()."""
     words = marked.select("pii_key", "pii_text", F.explode(F.array_distinct(_terms(F.col("pii_text")))).alias("term"))
     if risky.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         # every word of every text is looked up where the text lies, so that only hits are shuffled
@@ -175,18 +183,29 @@ def term_spans(marked: DataFrame, risky: DataFrame) -> DataFrame:
     return holding.select("pii_key", hits.alias("hits")).groupBy("pii_key").agg(F.flatten(F.collect_set("hits")).alias("pii_terms"))
 
 
-def spans(spark: SparkSession, docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
-    """docs with pii_base and pii_spans (base and term spans, by start, then kind)."""
-    marked = found(docs) if marked is None else marked
+def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with pii_text, pii_key, pii_base and pii_spans (base and term spans, by start, then kind)."""
+    texts = keyed(docs.drop("pii_terms", "pii_near"))
     with scratch(spark):
-        terms = saved(spark, term_spans(marked, disclosing(spark, marked)), "term-spans", lasting=True)
-    out = marked.drop("pii_terms", "pii_near").join(_bounded(terms), "pii_key", "left")
+        terms = saved(spark, term_spans(texts, disclosing(spark, found(docs))), "term-spans", lasting=True)
+    number = terms.limit(BROADCAST_KEYS + 1).count()
+    if BROADCAST_ROWS < number <= BROADCAST_KEYS:
+        # only the texts with term spans move; which those are, their keys tell
+        keys = F.broadcast(terms.select("pii_key"))
+        none = F.lit(None).cast(terms.schema["pii_terms"].dataType)
+        out = texts.join(keys, "pii_key", "left_anti").withColumn("pii_terms", none)
+        some = texts.join(keys, "pii_key", "left_semi").join(terms.hint("merge"), "pii_key")
+        out = out.unionByName(some)
+    else:
+        out = texts.join(F.broadcast(terms) if number <= BROADCAST_ROWS else terms, "pii_key", "left")
+    out = out.withColumn("pii_base", base_spans(F.col("pii_text")))
     meets = lambda h, b: (h["start"] < b["end"]) & (b["start"] < h["end"])
     ends = lambda c: F.array_max(F.transform(c, lambda b: b["end"]))
     near = F.transform(_chunks(F.col("pii_base")), lambda c: F.struct(F.element_at(c, 1)["start"].alias("start"), ends(c).alias("end"), c.alias("c")))
-    out = out.withColumn("pii_near", F.when(F.size("pii_base") > 0, near))
+    out = out.withColumn("pii_near", F.when((F.size("pii_base") > 0) & F.col("pii_terms").isNotNull(), near))
     clear = F.filter("pii_terms", lambda h: ~F.coalesce(F.exists("pii_near", lambda n: meets(h, n) & F.exists(n["c"], lambda b: meets(h, b))), F.lit(False)))
-    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.coalesce(clear, F.array().cast(SPAN))))).drop("pii_terms", "pii_near")
+    all_spans = F.when(F.col("pii_terms").isNull(), F.col("pii_base")).otherwise(F.array_sort(F.concat("pii_base", F.coalesce(clear, F.array().cast(SPAN)))))
+    return out.withColumn("pii_spans", all_spans).drop("pii_terms", "pii_near")
 
 
 def listed(spans: str) -> Column:
