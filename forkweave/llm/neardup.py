@@ -12,11 +12,11 @@ doc_id; all else works on classes.
    Hot lists (more than HOT members) have two more hubs: another member of the first hub's component, and one outside.
 3. Round two compares the members of a list that are in different components, in blocks: first by sketches, which tells
    who has a candidate at all, then those by full sets. A pair is met in the list of its smallest common key alone. A
-   block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT members (a passage that many documents share) is compared
-   only among classes with at most MISSES keys that are not hot: any other pair meets in a list that is not hot, unless
-   all that it shares is hot and yet more than MISSES of the KEYS keys of one lie in what the other lacks, at most 1.3e-4
-   at 0.85 and 8.6e-4 at 0.80, and no hub or chain links them. Such lists are cut by set size, as similar sets have
-   similar sizes, and into blocks.
+   block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT
+   members (a passage that many documents share) is compared but for pairs of far classes, which have more than MISSES
+   keys that are not hot: such a pair meets in a list that is not hot, unless all that it shares is hot and yet more than
+   MISSES of the KEYS keys of each lie in what the other lacks, at most 3e-12 at 0.85 and 2e-10 at 0.80. Such lists are
+   cut by set size, as similar sets have similar sizes, and into blocks of near classes; far ones visit these.
 
 The estimate that a candidate must reach is 5.5 standard errors below the threshold: of pairs at the threshold itself it
 rejects about 4e-6. Sets hold 64-bit hashes of runs and classes go by 128 bits of their sets, so "equal" and "exact" hold
@@ -46,6 +46,8 @@ KEYS = 10
 SKETCH = 32
 HOT = 256
 MISSES = 6
+#: Visitors of a block that are compared in a go.
+VISITORS = 1024
 #: Broadcast a table of ids up to this many rows (8 bytes each, and a set's key of 16); beyond it, it is joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -143,6 +145,7 @@ def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray], least: float) -> t
     """Places of row pairs of one block that are in different components, may be similar and have the list's value as smallest common key.
 
     Rows at home meet each other and the visitors; of two rows that are both of the band above (side 1) that band takes care.
+    Two far rows meet in lists that are not hot alone: for them those alone count as common (own).
     """
     side, visits, n, label = rows["side"].to_numpy(), rows["visits"].to_numpy(), rows["n"].to_numpy(), rows["label"].to_numpy()
     v = rows["v"].iloc[0]
@@ -153,14 +156,18 @@ def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray], least: float) -> t
     if not ok.any():
         return host[:0], host[:0]
     ok &= _shared([sketch[k] for k in host], sketch) >= _floor(least) * np.minimum(SKETCH, large)
-    if ok.any():
-        before = [np.asarray(s)[np.asarray(s) < v] for s in rows["keys"]]
-        ok &= _shared([before[k] for k in host], before) == 0
+    far = rows["far"].to_numpy()
+    both_far = far[host][:, None] & far[meet]
+    for column, pairs in (("keys", ~both_far), ("own", both_far)):
+        if (ok & pairs).any():
+            before = [np.asarray(s, np.int64)[np.asarray(s, np.int64) < v] for s in rows[column]]
+            if any(len(x) for x in before):
+                ok &= ~pairs | (_shared([before[k] for k in host], before) == 0)
     i, j = np.nonzero(ok)
     return host[i], meet[j]
 
 
-def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     """Places of rows that have a candidate in their list; all short lists of a batch at once."""
     first, second = [], []
     for size in np.unique(sizes):
@@ -169,7 +176,7 @@ def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, starts: np.
         first.append((at + i).ravel())
         second.append((at + j).ravel())
     a, b = np.concatenate(first), np.concatenate(second)
-    n, label, v = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["v"].to_numpy()
+    n, label, v, far = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["v"].to_numpy(), rows["far"].to_numpy()
     large = np.maximum(n[a], n[b])
     ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * large)
     a, b, large = a[ok], b[ok], large[ok]
@@ -179,7 +186,8 @@ def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, starts: np.
         x, y = sketch[p], sketch[q]
         both = np.sort(np.concatenate([x, y], 1), 1)
         same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
-        listed = np.sort(np.concatenate([keys[p], keys[q]], 1), 1)
+        both_far = (far[p] & far[q])[:, None]
+        listed = np.sort(np.concatenate([np.where(both_far, own[p], keys[p]), np.where(both_far, own[q], keys[q])], 1), 1)
         twice = (listed[:, 1:] == listed[:, :-1]) & (listed[:, 1:] < v[p][:, None])
         good = (same.sum(1) >= _floor(least) * np.minimum(SKETCH, large[k : k + (1 << 14)])) & ~twice.any(1)
         out += [p[good], q[good]]
@@ -209,12 +217,12 @@ def _have_candidates(least: float):
             short = (sizes <= SHORT) & ~rows["hot"].to_numpy()[starts]
             keep = []
             if short.any():
-                keep.append(_small(rows, _padded(lists, SKETCH), _padded(rows["keys"].tolist(), KEYS), starts[short], sizes[short], least))
+                keep.append(_small(rows, _padded(lists, SKETCH), _padded(rows["keys"].tolist(), KEYS), _padded(rows["own"].tolist(), KEYS), starts[short], sizes[short], least))
             for s, n in zip(starts[~short].tolist(), sizes[~short].tolist(), strict=True):
                 i, j = _candidates(rows.iloc[s : s + n], [np.asarray(x) for x in lists[s : s + n]], least)
                 keep.append(np.unique(np.concatenate([i, j])) + s)
             at = np.concatenate(keep).astype(np.int64) if keep else np.zeros(0, np.int64)
-            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "visits", "keys"]]
+            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "visits", "far", "keys", "own"]]
 
     return task
 
@@ -271,6 +279,12 @@ def _links_in_blocks(least: float, num: int, den: int):
     return task
 
 
+def _small_side(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table of hot lists (or their bands), written; broadcast up to BROADCAST_IDS rows, so that their members stay where they lie."""
+    df = saved(spark, df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
     """lists with the label of each member's component."""
     return lists.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
@@ -281,36 +295,40 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
 
 
-def _more_stars(lists: DataFrame) -> DataFrame:
+def _more_stars(spark: SparkSession, lists: DataFrame) -> DataFrame:
     """a, b: the members of hot lists with two more hubs of other components."""
     hot = lists.where(F.col("members") > HOT)
     main = hot.groupBy("v").agg(F.min_by("label", "rep").alias("main"))
-    hot = hot.join(main, "v")
+    hot = hot.join(_small_side(spark, main, "mains"), "v")
     inside = F.max(F.when(F.col("label") == F.col("main"), F.col("rep"))).alias("inside")
     outside = F.min(F.when(F.col("label") != F.col("main"), F.struct("rep", "label"))).alias("outside")
-    hot = hot.join(hot.groupBy("v").agg(inside, outside), "v")
+    hot = hot.join(_small_side(spark, hot.groupBy("v").agg(inside, outside), "hubs"), "v")
     one = hot.where("label <> main").select("rep", F.col("inside").alias("hub"))
     two = hot.where("label <> outside.label").select("rep", F.col("outside.rep").alias("hub"))
     both = one.unionAll(two).where("hub is not null")
     return both.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def _blocks(open_: DataFrame, least: float) -> DataFrame:
-    """gid, v, rep, n, label, side, visits, hot: the rows of each block in which members of a list are compared.
+def _blocks(spark: SparkSession, open_: DataFrame, least: float) -> DataFrame:
+    """gid, v, rep, n, label, far, side, visits, hot: the rows of each block in which members of a list are compared.
 
     A list that is not hot is a block. A hot one is cut into bands by set size: a band's members (side 0) meet each other
-    and those of the band above (side 1). A band is dealt into blocks; the members of its commonest component stay at
-    home, all others also visit every other block. So of two members of different components one visits the other.
+    and those of the band above (side 1). A band is dealt into blocks of near classes; the members of its commonest
+    component stay at home, all others also visit every other block. So of two members of different components one visits
+    the other. Far classes visit every block and are at home in none. A band's visitors are dealt into parts, each of which
+    meets those at home, so that no task has many more rows than HOT + VISITORS.
     """
-    small = open_.where(F.col("members") <= HOT).select("v", "rep", "n", "label", F.lit(0).alias("band"), F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit(False).alias("visits"), F.lit(False).alias("hot"))
+    small = open_.where(F.col("members") <= HOT).select("v", "rep", "n", "label", "far", F.lit(0).alias("band"), F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit(0).alias("part"), F.lit(False).alias("visits"), F.lit(False).alias("hot"))
     band = F.floor(F.ln("n") / F.lit(math.log(1 / least))).cast("int")
     hot = open_.where(F.col("members") > HOT).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("side"))
-    counts = hot.groupBy("v", "band", "label").agg(F.count("*").alias("c"), F.min("side").alias("has"))
-    size = counts.groupBy("v", "band").agg(F.ceil(F.sum("c") / HOT).cast("int").alias("blocks"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("has").alias("has"), F.count("*").alias("labels"))
-    dealt = hot.join(size.where("has = 0 and labels > 1"), ["v", "band"]).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    places = F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("at", F.explode(places)).select("v", "rep", "n", "label", "band", "side", "at", (F.col("at") != F.col("home")).alias("visits"), F.lit(True).alias("hot"))
-    return small.unionByName(dealt).withColumn("gid", F.xxhash64("v", "band", "at", "hot")).drop("band", "at")
+    counts = hot.groupBy("v", "band", "label").agg(F.sum((~F.col("far")).cast("int")).alias("c"), F.count("*").alias("all"), F.min("side").alias("has"))
+    size = counts.groupBy("v", "band").agg(F.ceil(F.sum("c") / HOT).cast("int").alias("blocks"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("has").alias("has"), F.count("*").alias("labels"), F.greatest(F.lit(1), F.ceil((F.sum("all") - F.max("c")) / VISITORS)).cast("int").alias("parts"))
+    dealt = hot.join(_small_side(spark, size.where("has = 0 and labels > 1 and blocks > 0"), "bands"), ["v", "band"]).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    places = F.when(~F.col("far") & (F.col("label") == F.col("main")), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("at", F.explode(places)).withColumn("visits", F.col("far") | (F.col("at") != F.col("home")))
+    shares = F.when(F.col("visits"), F.array(F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = dealt.withColumn("part", F.explode(shares)).select("v", "rep", "n", "label", "far", "band", "side", "at", "part", "visits", F.lit(True).alias("hot"))
+    return small.unionByName(dealt).withColumn("gid", F.xxhash64("v", "band", "at", "part", "hot")).drop("band", "at", "part")
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -336,20 +354,22 @@ def _link(spark: SparkSession, docs: DataFrame, words: int, num: int, den: int)
 
     found = components(spark, first)
     if not lists.where(F.col("members") > HOT).isEmpty():
-        more = saved(spark, _estimated(_more_stars(_labelled(lists, found)), reps, least), "stars")
+        more = saved(spark, _estimated(_more_stars(spark, _labelled(lists, found)), reps, least), "stars")
         ends = more.select(F.col("a").alias("rep")).unionAll(more.select(F.col("b").alias("rep")))
         found = components(spark, _edges(found).unionAll(_confirmed(spark, more, _sets(spark, docs, ends, reps, words), num, den)))
 
     # keys that no other class has are not hot either
     bare = lists.groupBy("rep").agg((F.first("own") - F.count("*") + F.sum((F.col("members") <= HOT).cast("int"))).alias("not_hot"))
-    open_ = _labelled(lists, found).drop("hub", "own").join(bare, "rep").where((F.col("members") <= HOT) | (F.col("not_hot") <= MISSES))
-    mixed = open_.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    open_ = _labelled(lists, found).drop("hub", "own").join(bare, "rep").withColumn("far", F.col("not_hot") > MISSES).drop("not_hot")
+    meets = F.max((F.col("members") <= HOT) | ~F.col("far")).alias("meets")  # a hot list of far classes alone compares nothing
+    mixed = open_.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), meets).where("lo < hi and meets").select("v")
     open_ = saved(spark, open_.join(mixed, "v"), "open")
-    blocks = _blocks(open_, least)
-    # the lists that a class is compared in: a pair is met in the smallest of those that both are in
-    keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("v")).alias("keys"))
+    blocks = _blocks(spark, open_, least)
+    # the lists that a class is compared in, and those where far ones are: a pair is met in the smallest of those that both are in
+    own = F.when((F.col("members") <= HOT) | ~F.col("far"), F.col("v"))
+    keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("v")).alias("keys"), F.array_sort(F.collect_set(own)).alias("own"))
     dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
-    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, keys array<long>"), "met")
+    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, far boolean, keys array<long>, own array<long>"), "met")
     sets = _sets(spark, docs, met.select("rep"), reps, words)
     full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
     second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")

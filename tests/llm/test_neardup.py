@@ -2,6 +2,7 @@ import random
 import re
 
 from forkweave.llm import components, neardup
+from pyspark.sql import functions as F
 
 
 def brute(rows, words, num, den):
@@ -48,10 +49,11 @@ def corpus(seed, n):
 
 
 def test_links_match_brute_force(spark, monkeypatch):
-    for seed, words, num, hot, misses, short in ((1, 3, 85, 256, 6, 48), (2, 5, 80, 12, 6, 48), (3, 3, 85, 5, 10, 3)):
+    for seed, words, num, hot, misses, short in ((1, 3, 85, 256, 6, 48), (2, 5, 80, 12, 6, 48), (3, 3, 85, 5, 10, 3), (4, 3, 85, 5, 6, 48), (5, 3, 80, 4, 2, 3)):
         monkeypatch.setattr(neardup, "HOT", hot)
         monkeypatch.setattr(neardup, "MISSES", misses)
         monkeypatch.setattr(neardup, "SHORT", short)
+        monkeypatch.setattr(neardup, "VISITORS", 2 * hot)
         rows = corpus(seed, 220)
         df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string").repartition(3)
         got = sorted((tuple(r) for r in neardup.link(spark, df, words, num, 100).drop("h").collect()), key=str)
@@ -60,6 +62,34 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert neardup.link(spark, df.limit(0)).count() == 0
 
 
+def test_a_passage_that_is_most_of_a_text(spark, monkeypatch):
+    """Texts that are one common passage, alone or with tails: links through hot lists alone, with far classes among them."""
+    monkeypatch.setattr(neardup, "HOT", 6)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join(passage + [f"t{i}_{j}" for j in range(rng.choice([0, 10, 30, 45, 60, 200]))])) for i in range(90)]
+    rows += [(100 + i, " ".join(passage[: 300 - 7 * i])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for misses in (6, 1):
+        monkeypatch.setattr(neardup, "MISSES", misses)
+        got = sorted((tuple(r) for r in neardup.link(spark, df, 3, 85, 100).drop("h").collect()), key=str)
+        assert got == brute(rows, 3, 85, 100)
+
+
+def test_ids_beyond_doubles_survive_a_null(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big + 2, "a b c d"), (big, "a b c d"), (None, "a b c d")], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.link(spark, df, 3, 85, 100).collect()}
+    assert got == {(big, big, True), (big + 2, big, False), (None, None, True)}
+
+
+def test_many_equal_rows(spark):
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("one and the same text of ten words in all rows").alias("text"))
+    out = neardup.link(spark, df, 3, 85, 100)
+    assert out.where("kept").count() == 1 and out.agg(F.max("component_id")).first()[0] == 0
+    assert neardup.survivors(spark, df.unionAll(df)).count() == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = {(i, i + 1) for i in range(100, 160)} | {(0, i) for i in range(1, 40)} | {tuple(sorted(rng.sample(range(200, 260), 2))) for _ in range(40)}
