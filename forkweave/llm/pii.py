@@ -37,10 +37,8 @@ PATTERNS = (
 CONTEXT = 80
 #: Spans in a slice of a fold.
 CHUNK = 64
-#: Broadcast the term spans of up to this many texts; of more, the texts that have some are joined by shuffle.
-BROADCAST_ROWS = 20_000
 #: Broadcast keys of texts up to this many (two numbers each), to tell which texts to move; beyond it, all texts are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 2_000_000
 #: The same for disclosing terms.
 BROADCAST_TERMS = 200_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
@@ -188,8 +186,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = keyed(docs.drop("pii_terms", "pii_near"))
     with scratch(spark):
         terms = saved(spark, term_spans(texts, disclosing(spark, found(docs))), "term-spans", lasting=True)
-    number = terms.limit(BROADCAST_KEYS + 1).count()
-    if BROADCAST_ROWS < number <= BROADCAST_KEYS:
+    if terms.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         # only the texts with term spans move; which those are, their keys tell
         keys = F.broadcast(terms.select("pii_key"))
         none = F.lit(None).cast(terms.schema["pii_terms"].dataType)
@@ -197,7 +194,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         some = texts.join(keys, "pii_key", "left_semi").join(terms.hint("merge"), "pii_key")
         out = out.unionByName(some)
     else:
-        out = texts.join(F.broadcast(terms) if number <= BROADCAST_ROWS else terms, "pii_key", "left")
+        out = texts.join(terms, "pii_key", "left")
     out = out.withColumn("pii_base", base_spans(F.col("pii_text")))
     meets = lambda h, b: (h["start"] < b["end"]) & (b["start"] < h["end"])
     ends = lambda c: F.array_max(F.transform(c, lambda b: b["end"]))

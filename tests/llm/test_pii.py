@@ -50,10 +50,8 @@ def test_rare_entities_and_writings(spark, monkeypatch):
     df = spark.createDataFrame(rows + rows[2:3] * 3, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
     assert got[0].startswith("term:0:7,phone:") and got[1].endswith(",term:36:43") and got[2] == "term:0:8,card:13:32" and got[10] == ""
-    for rows, keys in ((0, 1000), (0, 0)):  # other ways to join, same spans
-        monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
-        monkeypatch.setattr(pii, "BROADCAST_KEYS", keys)
-        assert got == {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_KEYS", 0)  # other ways to join, same spans
+    assert got == {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
     monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
     assert got == {r.doc_id: r.s for r in pii.spans(spark, df).select("doc_id", pii.listed("pii_spans").alias("s")).collect()}
     values = [(2, "4111-1111 11"), (3, "+1 (386) 5"), (1, "001.0.20.000"), (0, "A@B.c")]
