@@ -57,7 +57,11 @@ def joined(events: DataFrame, state: DataFrame) -> DataFrame:
 
 def verdicts(events: DataFrame, state: DataFrame, version: str) -> DataFrame:
     """room_id, event_id, code (null: allowed), required, actual."""
-    d = joined(events, state)
+    return judged(joined(events, state), version)
+
+
+def judged(d: DataFrame, version: str) -> DataFrame:
+    """verdicts() of events that have what their state says (joined)."""
     mine, theirs = level_of(F.col("sender"), version), level_of(F.coalesce("state_key", F.lit("")), version)
     member = F.col("type") == "m.room.member"
     self_ = F.coalesce(F.col("state_key"), F.lit("")) == F.col("sender")

@@ -30,39 +30,60 @@ def disputed(records: DataFrame) -> DataFrame:
     return s.partition(last, "head").where("is_conflicted").select("room_id", "event_id").distinct()
 
 
-def authority(events: DataFrame, auth: DataFrame, rows: DataFrame, settled: DataFrame, version: str) -> DataFrame:
-    """room_id, event_id, type, state_key, holder: the event that holds each key an event is checked by, as settled, else by direct authority."""
-    via = F.struct(F.lit("m.room.member").alias("type"), F.col("join_authorised_via_users_server").alias("state_key"))
-    more = F.when(F.col("join_authorised_via_users_server").isNotNull(), F.array(via)).otherwise(F.array().cast("array<struct<type:string,state_key:string>>"))
-    first = F.array(F.struct(F.lit("m.room.create").alias("type"), F.lit("").alias("state_key")))
-    keys = events.select("room_id", "event_id", F.explode(F.array_distinct(F.concat(c.required_keys(version), more, first))).alias("k")).select("room_id", "event_id", "k.type", "k.state_key")
+#: What a check looks up, and the columns it reads there: names as in auth.joined().
+_READS = {
+    "cr": ["sender", "additional_creators"],
+    "pl": ["users", "events", "users_default", "events_default", "state_default", "ban", "kick", "invite", "redact"],
+    "jr": ["join_rule"],
+    "me": ["membership"],
+    "to": ["membership"],
+    "by": ["membership"],
+    "ti": ["sender"],
+}
+
+
+def authority(events: DataFrame, auth: DataFrame, rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """events with what each one's authority says, as auth.joined() has it: each key as settled, else by direct authority.
+
+    One row for each event and key is looked up, and one aggregate brings them back to the event.
+    """
+    key = lambda role, kind, k: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("type"), k.cast("string").alias("state_key"))
+    member = F.when(F.col("type") == "m.room.member", F.col("state_key"))
+    wanted = [key("cr", "m.room.create", F.lit("")), key("pl", "m.room.power_levels", F.lit("")), key("jr", "m.room.join_rules", F.lit("")), key("me", "m.room.member", F.col("sender")), key("to", "m.room.member", member)]
+    wanted += [key("by", "m.room.member", F.col("join_authorised_via_users_server")), key("ti", "m.room.third_party_invite", F.col("tpi_token"))]
+    keys = events.select("room_id", "event_id", F.explode(F.filter(F.array(*wanted), lambda k: k["state_key"].isNotNull())).alias("k")).select("room_id", "event_id", "k.role", "k.type", "k.state_key")
     held = keys.join(settled.select("room_id", "type", "state_key", F.col("event_id").alias("settled")), ["room_id", "type", "state_key"], "left")
     kinds = rows.where("state_key IS NOT NULL").select("room_id", F.col("event_id").alias("parent"), "type", "state_key")
     own = auth.join(kinds, ["room_id", "parent"]).groupBy("room_id", F.col("child").alias("event_id"), "type", "state_key").agg(F.min_by("parent", "ord").alias("own"))
     held = held.join(own, ["room_id", "event_id", "type", "state_key"], "left")
-    return held.select("room_id", "event_id", "type", "state_key", F.coalesce("settled", "own").alias("holder")).where("holder IS NOT NULL")
+    held = held.select("room_id", "event_id", "role", F.coalesce("settled", "own").alias("holder")).where("holder IS NOT NULL")
+    read = sorted({c for cols in _READS.values() for c in cols})
+    held = held.join(rows.select("room_id", F.col("event_id").alias("holder"), F.struct(*read).alias("said")), ["room_id", "holder"])
+    said = held.groupBy("room_id", "event_id").agg(*[F.first(F.when(F.col("role") == role, F.col("said")), ignorenulls=True).alias(f"said_{role}") for role in _READS])
+    out = events.join(said, ["room_id", "event_id"], "left")
+    columns = {f"{role}_is": F.when(F.col(f"said_{role}").isNotNull(), F.lit(True)) for role in _READS}
+    columns |= {f"{role}_{c}": F.col(f"said_{role}.{c}") for role, cols in _READS.items() for c in cols}
+    return out.withColumns(columns).drop(*[f"said_{role}" for role in _READS])
 
 
 def fold(records: DataFrame, version: str) -> DataFrame:
-    """room_id, type, state_key, event_id: as resolve.lattice(), for V1 and V2, whose checks see the settled state first."""
+    """room_id, type, state_key, event_id: as resolve.lattice(), for V1 and V2, whose checks see the settled state first.
+
+    The power phase's result and the events to judge, which several joins read, are persisted: a few rows of each room.
+    """
     if version not in ("V1", "V2"):
         raise ValueError(f"{version} hides parts of the settled state from its checks: use resolve.lattice()")
     rows = c.typed(records.select(*r.COLUMNS)).withColumn("n_prev", F.size("prev_events")).withColumn("n_auth", F.size("auth_events"))
     auth = edges(records, "auth_events")
-    settled = r.power_phase(records, version)
+    settled = r.power_phase(records, version).persist()
     open_ = rows.join(disputed(records), ["room_id", "event_id"], "left_semi")
     power = open_.where(c.is_power(version)).select("room_id", "event_id")
     if version != "V1":  # with what it depends on
         inside = auth.join(open_.select("room_id", F.col("event_id").alias("child")), ["room_id", "child"], "left_semi").join(open_.select("room_id", F.col("event_id").alias("parent")), ["room_id", "parent"], "left_semi")
         power = g.reachable(inside, power).select("room_id", "event_id")
-    rest = open_.join(power, ["room_id", "event_id"], "left_anti")
-    held = authority(rest, auth, rows, settled, version)
-    # each event is judged in a room of its own
-    case = F.to_json(F.array(F.col("room_id").cast("string"), F.col("event_id"))).alias("case")
-    typed = rows.select("room_id", F.col("event_id").alias("holder"), *[x for x in rows.columns if x not in ("room_id", "event_id", "type", "state_key")])
-    state = held.select("room_id", case, "type", "state_key", "holder").join(typed, ["room_id", "holder"]).drop("room_id").withColumnRenamed("case", "room_id").withColumnRenamed("holder", "event_id")
-    judged = rest.withColumn("case", case)
-    fits = a.verdicts(judged.drop("room_id").withColumnRenamed("case", "room_id"), state, version).where("code IS NULL").select(F.col("room_id").alias("case"))
+    rest = open_.join(power, ["room_id", "event_id"], "left_anti").persist()
+    fits = a.judged(authority(rest, auth, rows, settled), version).where("code IS NULL").select("room_id", "event_id")
     places = o.mainline_positions(records.select("room_id", "event_id", "type"), auth, settled)
-    best = judged.join(fits, "case", "left_semi").join(places, ["room_id", "event_id"]).withColumn("ts", F.col("origin_server_ts"))
+    slim = rest.select("room_id", "event_id", "type", "state_key", F.col("origin_server_ts").alias("ts"))
+    best = slim.join(fits, ["room_id", "event_id"], "left_semi").join(places, ["room_id", "event_id"])
     return s.overlay(settled, o.lattice_winners(best))
