@@ -21,6 +21,24 @@ def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _kind(f.dataType)) for f, c in zip(schema.fields, columns, strict=True)], schema.names)
 
 
+def _values(c: pa.Array) -> list:
+    """Python values of a column, many at once; nulls are None."""
+    if pa.types.is_list(c.type):
+        flat, ends = _values(c.flatten()), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum().tolist()
+        out = [flat[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+    elif pa.types.is_integer(c.type) or pa.types.is_boolean(c.type):
+        out = c.fill_null(False if pa.types.is_boolean(c.type) else 0).to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_string(c.type):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return c.to_pylist()
+    if c.null_count:
+        for i, none in enumerate(c.is_null().to_pylist()):
+            if none:
+                out[i] = None
+    return out
+
+
 def by_room(df: DataFrame, run: Callable[[object, list], Iterable[tuple]], schema: str, keys: tuple[str, ...] = ("room_id",), order: tuple[str, ...] = ()) -> DataFrame:
     """The rows that run(key, rows) makes for each room; a task holds one room's rows at a time.
 
@@ -32,7 +50,7 @@ def by_room(df: DataFrame, run: Callable[[object, list], Iterable[tuple]], schem
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+            yield from zip(*map(_values, b.columns), strict=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
