@@ -59,11 +59,16 @@ def saved(spark: SparkSession, df: DataFrame, name: str, lasting: bool = False)
 
     Inside scratch() the table goes at the end, unless it is lasting: what a returned plan reads must last.
     """
+    return saved_at(spark, df, name, lasting)[0]
+
+
+def saved_at(spark: SparkSession, df: DataFrame, name: str, lasting: bool = False) -> tuple[DataFrame, str]:
+    """saved(), and where the table's files lie."""
     path = fresh_dir(spark, name)
     for paths in _written.get()[int(lasting) :][:1]:
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, path: str) -> None:

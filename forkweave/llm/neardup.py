@@ -10,13 +10,15 @@ doc_id; all else works on classes.
    Union sketches of SKETCH hashes estimate the similarity and filter far below the threshold; exact Jaccard on full sets
    confirms. Confirmed links give components.
    Hot lists (more than HOT members) have two more hubs: another member of the first hub's component, and one outside.
-3. Round two compares the members of a list that are in different components, in blocks: first by sketches, which tells
-   who has a candidate at all, then those by full sets. A pair is met in the list of its smallest common key alone. A
-   block gives a spanning forest of its confirmed links, so its output is bounded by its members. A list of more than HOT
-   members (a passage that many documents share) is compared but for pairs of far classes, which have more than MISSES
-   keys that are not hot: such a pair meets in a list that is not hot, unless all that it shares is hot and yet more than
-   MISSES of the KEYS keys of each lie in what the other lacks, at most 3e-12 at 0.85 and 2e-10 at 0.80. Such lists are
-   cut by set size, as similar sets have similar sizes, and into blocks of near classes; far ones visit these.
+3. Round two compares the members of a list that are in different components: first by sketches, which tells who has a
+   candidate at all, then those by full sets. A list that is not hot is a block; a pair is met in the list of its smallest
+   common key alone, and a block gives a spanning forest of its confirmed links. Members of hot lists (a passage that many
+   documents share) are compared but for pairs of far classes, which have more than MISSES keys that are not hot: such a
+   pair meets in a list that is not hot, unless all that it shares is hot and yet more than MISSES of the KEYS keys of each
+   lie in what the other lacks, at most 3e-12 at 0.85 and 2e-10 at 0.80. All hot lists are compared together, each class
+   once however many of them it is in: the members are written in order of set size and dealt evenly, and each task reads
+   the members of a size that may do. So rows grow with the members; what tasks read of those files, and the comparisons
+   of sketches within tasks, still grow with the near members times the members of such a size.
 
 The estimate that a candidate must reach is 5.5 standard errors below the threshold: of pairs at the threshold itself it
 rejects about 4e-6. Sets hold 64-bit hashes of runs and classes go by 128 bits of their sets, so "equal" and "exact" hold
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flagged, saved, scratch
+from .common import bounded_batches, flagged, saved, saved_at, scratch
 from .components import components, forest
 from .textnum import Words, batches
 
@@ -46,8 +48,11 @@ KEYS = 10
 SKETCH = 32
 HOT = 256
 MISSES = 6
-#: Visitors of a block that are compared in a go.
+#: Members of hot lists that ABREAST others are compared with in a go.
 VISITORS = 1024
+ABREAST = 64
+#: Rows of a file of members of hot lists, and bytes of their sets, about.
+PLACED, PLACED_BYTES = 4096, 16 << 20
 #: Broadcast a table of ids up to this many rows (8 bytes each, and a set's key of 16); beyond it, it is joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -144,27 +149,22 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], wide: int = 1 << 14
 def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of row pairs of one block that are in different components, may be similar and have the list's value as smallest common key.
 
-    Rows at home meet each other and the visitors; of two rows that are both of the band above (side 1) that band takes care.
     Two far rows meet in lists that are not hot alone: for them those alone count as common (own).
     """
-    side, visits, n, label = rows["side"].to_numpy(), rows["visits"].to_numpy(), rows["n"].to_numpy(), rows["label"].to_numpy()
-    v = rows["v"].iloc[0]
-    host, meet = np.flatnonzero(~visits), np.arange(len(rows))
-    large, small = np.maximum(n[host][:, None], n[meet]), np.minimum(n[host][:, None], n[meet])
-    ok = (label[host][:, None] != label[meet]) & (small >= least * large) & ((side[host][:, None] == 0) | (side[meet] == 0))
-    ok &= visits[meet] | (host[:, None] < meet)
+    n, label, far = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["far"].to_numpy()
+    v, at = rows["v"].iloc[0], np.arange(len(rows))
+    large, small = np.maximum(n[:, None], n), np.minimum(n[:, None], n)
+    ok = (label[:, None] != label) & (small >= least * large) & (at[:, None] < at)
     if not ok.any():
-        return host[:0], host[:0]
-    ok &= _shared([sketch[k] for k in host], sketch) >= _floor(least) * np.minimum(SKETCH, large)
-    far = rows["far"].to_numpy()
-    both_far = far[host][:, None] & far[meet]
+        return at[:0], at[:0]
+    ok &= _shared(sketch, sketch) >= _floor(least) * np.minimum(SKETCH, large)
+    both_far = far[:, None] & far
     for column, pairs in (("keys", ~both_far), ("own", both_far)):
         if (ok & pairs).any():
             before = [np.asarray(s, np.int64)[np.asarray(s, np.int64) < v] for s in rows[column]]
             if any(len(x) for x in before):
-                ok &= ~pairs | (_shared([before[k] for k in host], before) == 0)
-    i, j = np.nonzero(ok)
-    return host[i], meet[j]
+                ok &= ~pairs | (_shared(before, before) == 0)
+    return np.nonzero(ok)
 
 
 def _small(rows: pd.DataFrame, sketch: np.ndarray, keys: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
@@ -210,11 +210,11 @@ def _have_candidates(least: float):
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_blocks(parts):
-            gid = rows["gid"].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1])
-            sizes = np.diff(np.append(starts, len(gid)))
+            v = rows["v"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(v)) + 1])
+            sizes = np.diff(np.append(starts, len(v)))
             lists = rows["sketch"].tolist()
-            short = (sizes <= SHORT) & ~rows["hot"].to_numpy()[starts]
+            short = sizes <= SHORT
             keep = []
             if short.any():
                 keep.append(_small(rows, _padded(lists, SKETCH), _padded(rows["keys"].tolist(), KEYS), _padded(rows["own"].tolist(), KEYS), starts[short], sizes[short], least))
@@ -222,7 +222,7 @@ def _have_candidates(least: float):
                 i, j = _candidates(rows.iloc[s : s + n], [np.asarray(x) for x in lists[s : s + n]], least)
                 keep.append(np.unique(np.concatenate([i, j])) + s)
             at = np.concatenate(keep).astype(np.int64) if keep else np.zeros(0, np.int64)
-            yield rows.iloc[np.unique(at)][["gid", "v", "rep", "n", "label", "side", "visits", "far", "keys", "own"]]
+            yield rows.iloc[np.unique(at)][["v", "rep", "n", "label", "far", "keys", "own"]]
 
     return task
 
@@ -233,10 +233,10 @@ def _whole_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in parts:
         if not len(b):
             continue
-        gid = b["gid"].to_numpy()
-        cuts = np.flatnonzero(gid != gid[-1])
+        v = b["v"].to_numpy()
+        cuts = np.flatnonzero(v != v[-1])
         cut = int(cuts[-1]) + 1 if len(cuts) else 0
-        if held and (cut or held[-1]["gid"].iloc[-1] != gid[0]):
+        if held and (cut or held[-1]["v"].iloc[-1] != v[0]):
             if cut:
                 held.append(b.iloc[:cut])
             yield pd.concat(held, ignore_index=True)
@@ -250,6 +250,16 @@ def _whole_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
+def _exact(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (left[i], right[j]) of full sets have den * intersection >= num * union."""
+    if len(i) <= 20_000:
+        return np.array([_similar(left[p], right[q], num, den) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    some, others = np.unique(i), np.unique(j)
+    shared = _shared([left[k] for k in some], [right[k] for k in others])[np.searchsorted(some, i), np.searchsorted(others, j)]
+    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    return den * shared >= num * (n[i] + m[j] - shared)
+
+
 def _links_in_blocks(least: float, num: int, den: int):
     """A spanning forest of each block's confirmed links, from full sets."""
 
@@ -259,21 +269,15 @@ def _links_in_blocks(least: float, num: int, den: int):
         i, j = _candidates(rows, sketch, least)
         if not len(i):
             return []
-        if len(i) <= 20_000:
-            good = np.array([_similar(sets[p], sets[q], num, den) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        else:
-            left, right = np.unique(i), np.unique(j)
-            shared = _shared([sets[k] for k in left], [sets[k] for k in right])[np.searchsorted(left, i), np.searchsorted(right, j)]
-            n = np.array([len(s) for s in sets])
-            good = den * shared >= num * (n[i] + n[j] - shared)
+        good = _exact(sets, sets, i, j, num, den)
         rep = rows["rep"].to_numpy()
         return forest(rep[i[good]], rep[j[good]]) if good.any() else []
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_blocks(parts):
-            gid = rows["gid"].to_numpy()
-            cuts = np.flatnonzero(np.diff(gid)) + 1
-            out = [p for at in np.split(np.arange(len(gid)), cuts) for p in block(rows.iloc[at])]
+            v = rows["v"].to_numpy()
+            cuts = np.flatnonzero(np.diff(v)) + 1
+            out = [p for at in np.split(np.arange(len(v)), cuts) for p in block(rows.iloc[at])]
             yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return task
@@ -309,26 +313,103 @@ def _more_stars(spark: SparkSession, lists: DataFrame) -> DataFrame:
     return both.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def _blocks(spark: SparkSession, open_: DataFrame, least: float) -> DataFrame:
-    """gid, v, rep, n, label, far, side, visits, hot: the rows of each block in which members of a list are compared.
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sketches; work in proportion to what they share."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    order = np.argsort(y)
+    y, j = y[order], j[order]
+    first = np.searchsorted(y, x)
+    times = np.searchsorted(y, x, "right") - first
+    at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+    return np.bincount(np.repeat(i, times) * len(right) + j[at], minlength=len(left) * len(right)).reshape(len(left), len(right))
+
+
+def _met(some: pd.DataFrame, rows: pd.DataFrame, mine: list[np.ndarray], theirs: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of members, not both far, that are in different components and may be similar."""
+    n, m = some["n"].to_numpy()[:, None], rows["n"].to_numpy()
+    large = np.maximum(n, m)
+    ok = (some["label"].to_numpy()[:, None] != rows["label"].to_numpy()) & (np.minimum(n, m) >= least * large)
+    ok &= ~(some["far"].to_numpy()[:, None] & rows["far"].to_numpy())
+    if ok.any():
+        ok &= _common(mine, theirs) >= _floor(least) * np.minimum(SKETCH, large)
+    return np.nonzero(ok)
+
+
+def _members(files: list[tuple[str, int, int]], lo: float, hi: float, most: int, near: bool = False) -> Iterator[pd.DataFrame]:
+    """The written members of hot lists (near ones alone) with set sizes from lo to hi, at most `most` in a go. files: path, least and largest size."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for path, smallest, largest in files:
+        if largest < lo or smallest > hi:
+            continue
+        system, p = fs.FileSystem.from_uri(path)
+        with system.open_input_file(p) as f:
+            for b in pq.ParquetFile(f, pre_buffer=False, buffer_size=1 << 20).iter_batches(batch_size=most):
+                rows = b.to_pandas()
+                rows = rows[(rows["n"] >= lo) & (rows["n"] <= hi) & ~(near & rows["far"])]
+                if len(rows):
+                    yield rows
 
-    A list that is not hot is a block. A hot one is cut into bands by set size: a band's members (side 0) meet each other
-    and those of the band above (side 1). A band is dealt into blocks of near classes; the members of its commonest
-    component stay at home, all others also visit every other block. So of two members of different components one visits
-    the other. Far classes visit every block and are at home in none. A band's visitors are dealt into parts, each of which
-    meets those at home, so that no task has many more rows than HOT + VISITORS.
-    """
-    small = open_.where(F.col("members") <= HOT).select("v", "rep", "n", "label", "far", F.lit(0).alias("band"), F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit(0).alias("part"), F.lit(False).alias("visits"), F.lit(False).alias("hot"))
-    band = F.floor(F.ln("n") / F.lit(math.log(1 / least))).cast("int")
-    hot = open_.where(F.col("members") > HOT).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("side"))
-    counts = hot.groupBy("v", "band", "label").agg(F.sum((~F.col("far")).cast("int")).alias("c"), F.count("*").alias("all"), F.min("side").alias("has"))
-    size = counts.groupBy("v", "band").agg(F.ceil(F.sum("c") / HOT).cast("int").alias("blocks"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("has").alias("has"), F.count("*").alias("labels"), F.greatest(F.lit(1), F.ceil((F.sum("all") - F.max("c")) / VISITORS)).cast("int").alias("parts"))
-    dealt = hot.join(_small_side(spark, size.where("has = 0 and labels > 1 and blocks > 0"), "bands"), ["v", "band"]).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    places = F.when(~F.col("far") & (F.col("label") == F.col("main")), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("at", F.explode(places)).withColumn("visits", F.col("far") | (F.col("at") != F.col("home")))
-    shares = F.when(F.col("visits"), F.array(F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("part", F.explode(shares)).select("v", "rep", "n", "label", "far", "band", "side", "at", "part", "visits", F.lit(True).alias("hot"))
-    return small.unionByName(dealt).withColumn("gid", F.xxhash64("v", "band", "at", "part", "hot")).drop("band", "at", "part")
+
+def _placed(spark: SparkSession, members: DataFrame, parts: int) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """members written in order of set size; the files, with their least and largest size."""
+    table, path = saved_at(spark, members.repartitionByRange(parts, "n", "rep").sortWithinPartitions("n", "rep"), "hot")
+    files = table.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return table, [(f"{path}/{r.file}", r.lo, r.hi) for r in files.collect()]  # a row per file
+
+
+def _dealt(members: DataFrame, count: int) -> DataFrame:
+    return members.repartitionByRange(max(1, -(-count // (4 * ABREAST))), "far", "n", "rep").sortWithinPartitions("far", "n", "rep")
+
+
+def _hot_met(spark: SparkSession, members: DataFrame, least: float) -> DataFrame:
+    """rep: the members of hot lists (rep, n, label, far, sketch) that have a candidate among them."""
+    table, files = _placed(spark, members, max(1, -(-members.count() // PLACED)))
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            for k in range(0, len(b), ABREAST):
+                some = b.iloc[k : k + ABREAST]
+                met, mine = np.zeros(len(some), bool), some["sketch"].tolist()
+                for rows in _members(files, some["n"].min() * least, some["n"].max() / least, VISITORS, some["far"].all()):
+                    met[_met(some, rows, mine, rows["sketch"].tolist(), least)[0]] = True
+                yield some.loc[met, ["rep"]]
+
+    return saved(spark, _dealt(table, table.count()).mapInPandas(task, "rep long"), "met-hot")
+
+
+def _hot_links(spark: SparkSession, members: DataFrame, least: float, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest by task of the confirmed links among members of hot lists (rep, n, label, far, set)."""
+    count, ids, near = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(~F.col("far"), 1))).first()
+    table, files = _placed(spark, members, max(1, -(-count // PLACED), -(-8 * ids // PLACED_BYTES)))
+    most = max(1, min(VISITORS, PLACED_BYTES * count // max(1, 8 * ids)))
+
+    def low(sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
+
+    def thinned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return forest(*np.array(pairs, np.int64).T) if pairs else []
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: list[tuple[int, int]] = []
+        for b in parts:
+            for k in range(0, len(b), min(ABREAST, most)):
+                some = b.iloc[k : k + min(ABREAST, most)]
+                sets = [np.frombuffer(s, np.uint64) for s in some["set"]]
+                for rows in _members(files, some["n"].min() * least, some["n"].max() / least, most):
+                    others = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+                    i, j = _met(some, rows, low(sets), low(others), least)
+                    a, b_ = some["rep"].to_numpy()[i], rows["rep"].to_numpy()[j]
+                    once = rows["far"].to_numpy()[j] | (a < b_)  # two near ones meet twice
+                    good = np.flatnonzero(once)[_exact(sets, others, i[once], j[once], num, den)] if once.any() else i[:0]
+                    pairs += zip(a[good].tolist(), b_[good].tolist(), strict=True)
+                    if len(pairs) > 1 << 16:
+                        pairs = thinned(pairs)
+        yield pd.DataFrame(thinned(pairs), columns=["a", "b"], dtype="int64")
+
+    return saved(spark, _dealt(table.where("not far"), near).mapInPandas(task, "a long, b long").distinct(), "across-hot")
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -364,15 +445,23 @@ def _link(spark: SparkSession, docs: DataFrame, words: int, num: int, den: int)
     meets = F.max((F.col("members") <= HOT) | ~F.col("far")).alias("meets")  # a hot list of far classes alone compares nothing
     mixed = open_.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), meets).where("lo < hi and meets").select("v")
     open_ = saved(spark, open_.join(mixed, "v"), "open")
-    blocks = _blocks(spark, open_, least)
     # the lists that a class is compared in, and those where far ones are: a pair is met in the smallest of those that both are in
     own = F.when((F.col("members") <= HOT) | ~F.col("far"), F.col("v"))
     keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("v")).alias("keys"), F.array_sort(F.collect_set(own)).alias("own"))
-    dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("gid").sortWithinPartitions("gid", "rep")
-    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "gid long, v long, rep long, n long, label long, side int, visits boolean, far boolean, keys array<long>, own array<long>"), "met")
-    sets = _sets(spark, docs, met.select("rep"), reps, words)
-    full = met.join(sets, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
+    blocks = open_.where(F.col("members") <= HOT).select("v", "rep", "n", "label", "far")
+    dealt = blocks.join(reps.select("rep", "sketch").join(keys, "rep"), "rep").repartition("v").sortWithinPartitions("v", "rep")
+    met = saved(spark, dealt.mapInPandas(_have_candidates(least), "v long, rep long, n long, label long, far boolean, keys array<long>, own array<long>"), "met")
+    wanted = met.select("rep")
+    hot = open_.where(F.col("members") > HOT).select("rep", "n", "label", "far").distinct()
+    some = not hot.isEmpty()
+    if some:
+        hot = saved(spark, hot.join(_hot_met(spark, hot.join(reps.select("rep", "sketch"), "rep"), least), "rep"), "hot-met")
+        wanted = wanted.unionAll(hot.select("rep"))
+    sets = _sets(spark, docs, wanted, reps, words)
+    full = met.join(sets, "rep").repartition("v").sortWithinPartitions("v", "rep")
     second = saved(spark, full.mapInPandas(_links_in_blocks(least, num, den), "a long, b long").distinct(), "across")
+    if some:
+        second = second.unionAll(_hot_links(spark, hot.join(sets, "rep"), least, num, den))
 
     final = saved(spark, components(spark, _edges(found).unionAll(second)), "components")
     classes = reps.select("key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))

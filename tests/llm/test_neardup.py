@@ -99,3 +99,41 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def made(spark, since):
+    """Most rows that one operator of a plan made in the SQL executions after the first `since`; and how many there are now."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    each = lambda xs: [xs.apply(i) for i in range(xs.size())]
+    for run in each(runs)[since:]:
+        values = store.executionMetrics(run.executionId())
+        for node in each(store.planGraph(run.executionId()).allNodes()):
+            for metric in each(node.metrics()):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, runs.size()
+
+
+def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 8)
+    rng, rows = random.Random(5), {}
+    for m in (60, 240):
+        base = [f"w{k}" for k in range(60)]
+        rows[m] = []
+        for i in range(m):
+            t = list(base)
+            for k in rng.sample(range(60), rng.choice([1, 1, 6, 6, 6, 6, 9])):
+                t[k] = f"x{i}_{k}"
+            if i % 11 == 10:  # a near copy of one that is not near the group
+                t = [*rows[m][i - 4][1].split()[:-1], f"y{i}"]
+            rows[m].append((i, " ".join(t)))
+    most = {}
+    for m in rows:
+        since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        df = spark.createDataFrame(rows[m], "doc_id long, text string")
+        got = sorted((tuple(r) for r in neardup.link(spark, df, 3, 85, 100).drop("h").collect()), key=str)
+        most[m], _ = made(spark, since)
+        assert got == brute(rows[m], 3, 85, 100)
+    assert most[240] <= 6 * most[60], most
