@@ -7,6 +7,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructType, _parse_datatype_string
 
 _KINDS = {LongType: pa.int64(), IntegerType: pa.int32(), StringType: pa.string(), BooleanType: pa.bool_()}
@@ -42,7 +43,9 @@ def _values(c: pa.Array) -> list:
 def by_room(df: DataFrame, run: Callable[[object, list], Iterable[tuple]], schema: str, keys: tuple[str, ...] = ("room_id",), order: tuple[str, ...] = ()) -> DataFrame:
     """The rows that run(key, rows) makes for each room; a task holds one room's rows at a time.
 
-    Rows travel as Arrow, not pandas: a null beside them leaves ids beyond 2^53 as they are.
+    Rows travel as Arrow, not pandas: a null beside them leaves ids beyond 2^53 as they are. They are dealt by a hash of
+    the keys, not by the keys: rows that lie by the keys already would get no shuffle of their own, and nothing then keeps
+    a room together, for Spark merges, splits and reads partitions at will where no operator above asks for an order of them.
     """
     out = _parse_datatype_string(schema)
     names = list(df.columns)
@@ -63,4 +66,4 @@ def by_room(df: DataFrame, run: Callable[[object, list], Iterable[tuple]], schem
         if held:
             yield _batch(held, out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, out)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(task, out)

@@ -275,3 +275,19 @@ def test_formats_settings_and_reports(spark, records, tmp_path):
     spark.conf.unset("forkweave.version")
     ours = r.resolved(records, "V2")
     assert reports.unlike(ours, ours, ours.columns).isEmpty() and reports.unlike(ours, ours.limit(3), ours.columns).count() == ours.count() - 3
+
+
+def test_a_room_is_one_group_whatever_its_rows_came_from(spark):
+    """Two tables that lie by room already, of unequal size: their shuffles are merged unequally."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        edges = spark.range(40_000).selectExpr("id div 40 AS room_id", "id AS child", "id - 1 AS parent").where("child % 40 > 0").groupBy("room_id").agg(F.collect_list(F.struct("child", "parent")).alias("e")).select("room_id", F.inline("e"))
+        seeds = spark.range(40_000).where("id % 40 IN (20, 30)").selectExpr("id div 40 AS room_id", "id AS event_id").groupBy("room_id").agg(F.collect_list("event_id").alias("e")).select("room_id", F.explode("e").alias("event_id"))
+        assert graph.subgraph(edges, seeds).count() == 1000 * 11
+        assert graph.bounded_difference(edges, seeds.where("event_id % 40 = 30"), seeds.where("event_id % 40 = 20")).count() == 1000 * 10
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
