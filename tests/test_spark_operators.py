@@ -287,6 +287,7 @@ def test_a_room_is_one_group_whatever_its_rows_came_from(spark):
         edges = spark.range(40_000).selectExpr("id div 40 AS room_id", "id AS child", "id - 1 AS parent").where("child % 40 > 0").groupBy("room_id").agg(F.collect_list(F.struct("child", "parent")).alias("e")).select("room_id", F.inline("e"))
         seeds = spark.range(40_000).where("id % 40 IN (20, 30)").selectExpr("id div 40 AS room_id", "id AS event_id").groupBy("room_id").agg(F.collect_list("event_id").alias("e")).select("room_id", F.explode("e").alias("event_id"))
         assert graph.subgraph(edges, seeds).count() == 1000 * 11
+        assert graph.subgraph(edges, seeds, most=2).count() == 1000 * 4
         assert graph.bounded_difference(edges, seeds.where("event_id % 40 = 30"), seeds.where("event_id % 40 = 20")).count() == 1000 * 10
     finally:
         for c, v in old.items():
