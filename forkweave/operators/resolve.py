@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as k
@@ -16,12 +17,20 @@ STATE = "room_id {room}, type string, state_key string, event_id string"
 
 
 def _json(text: str | None):
+    """Content, not to be changed: short texts, most of which repeat, are parsed once for many events."""
+    return _parsed(text) if text is None or len(text) > 200 else _kept(text)
+
+
+def _parsed(text: str | None):
     try:
         return json.loads(text) if text else {}
     except ValueError:
         return {}
 
 
+_kept = lru_cache(4096)(_parsed)
+
+
 def events_of(rows: Iterable[tuple]) -> dict:
     """Kernel events by id from rows of COLUMNS (the room first)."""
     return {r[1]: k.Event(r[1], r[2], r[3], r[4] or "", r[5] or 0, r[6] or 0, r[7] or 0, tuple(r[8] if r[8] is not None else ()), tuple(r[9] if r[9] is not None else ()), _json(r[10])) for r in rows}
@@ -54,13 +63,32 @@ def resolved(records: DataFrame, version: str, stamp: bool | None = None, verify
     return _run(records, run, "type string, state_key string, event_id string")
 
 
-def _with_state(records: DataFrame, marked: DataFrame, state: DataFrame) -> DataFrame:
-    """records with mark (of marked: room_id, event_id, mark), then the entries of a state as rows with mark -1."""
-    kind = dict(records.select(*COLUMNS).dtypes)
-    rows = records.select(*COLUMNS).join(marked, ["room_id", "event_id"], "left").select(*COLUMNS, F.col("mark").cast("long").alias("mark"))
-    given = {"room_id", "type", "state_key", "event_id"}
-    entries = state.select(*[F.col(c).cast(kind[c]).alias(c) if c in given else F.lit(None).cast(kind[c]).alias(c) for c in COLUMNS], F.lit(-1).cast("long").alias("mark"))
-    return rows.unionByName(entries)
+def _with_state(records: DataFrame, columns: list[str], placed: DataFrame, state: DataFrame) -> DataFrame:
+    """columns of records, then kind and pos: 0 a record, 1 a place (of placed: room_id, event_id, pos), 2 an entry of a state.
+
+    The kernel's shuffle by room is the only one: what belongs to one event meets in its task, not by a join before it.
+    """
+    kind = dict(records.select(*columns).dtypes)
+    blank = {"int": F.lit(0), "bigint": F.lit(0).cast("bigint")}  # cheaper to read than nulls
+
+    def part(rows: DataFrame, given: tuple, n: int, pos: Column) -> DataFrame:
+        return rows.select(*[F.col(c).cast(kind[c]).alias(c) if c in given else blank.get(kind[c], F.lit(None).cast(kind[c])).alias(c) for c in columns], F.lit(n).alias("kind"), pos.cast("long").alias("pos"))
+
+    rows = part(records, tuple(columns), 0, F.lit(0)).unionByName(part(placed, ("room_id", "event_id"), 1, F.col("pos")))
+    return rows.unionByName(part(state, ("room_id", "event_id", "type", "state_key"), 2, F.lit(0)))
+
+
+def _parted(rows: list) -> tuple[dict, list, list]:
+    """Records by id, places (pos, id) of known ones in order, and entries (key, id), from one room's rows of _with_state()."""
+    known, placed, entries = {}, [], []
+    for r in rows:
+        if r[-2] == 0:
+            known[r[1]] = r
+        elif r[-2] == 1:
+            placed.append((r[-1], r[1]))
+        else:
+            entries.append(((r[2], r[3]), r[1]))
+    return known, sorted(x for x in placed if x[1] in known), entries
 
 
 def from_checkpoint(records: DataFrame, snapshot: DataFrame, conflicted: DataFrame, version: str, verify: Callable | None = None) -> DataFrame:
@@ -70,29 +98,38 @@ def from_checkpoint(records: DataFrame, snapshot: DataFrame, conflicted: DataFra
     all their authority; where some lacks, the job fails and names it. Snapshot entries need not be among the records.
     """
     room = records.schema["room_id"].dataType.simpleString()
-    rows = _with_state(records, conflicted.select("room_id", "event_id").distinct().withColumn("mark", F.lit(1)), snapshot)
+    rows = _with_state(records, COLUMNS, conflicted.select("room_id", "event_id").distinct().withColumn("pos", F.lit(0)), snapshot)
 
     def run(key, rows):
-        events = events_of(r for r in rows if r[-1] != -1)
-        base = {(r[2], r[3]): r[1] for r in rows if r[-1] == -1}
-        disputed = {r[1]: events[r[1]] for r in rows if r[-1] == 1}
-        return [(key, *at, x) for at, x in sorted(k.resolve_checkpoint(base, disputed, events, version, verify).items())]
+        known, placed, entries = _parted(rows)
+        events = events_of(known.values())
+        return [(key, *at, x) for at, x in sorted(k.resolve_checkpoint(dict(entries), {x: events[x] for _, x in placed}, events, version, verify).items())]
 
     return by_room(rows, run, f"room_id {room}, type string, state_key string, event_id string")
 
 
+#: What the rules read of an event: of its parents only how many there are.
+_JUDGED = ["room_id", "event_id", "type", "state_key", "sender", "content", "n_prev", "n_auth"]
+
+
 def checked_chain(records: DataFrame, order: DataFrame, state: DataFrame, version: str, verify: Callable | None = None) -> DataFrame:
     """room_id, pos, event_id, accepted, code, required, actual, message: events applied one after the other onto a state.
 
-    order: room_id, event_id, pos; state: room_id, type, state_key, event_id of records.
+    order: room_id, event_id, pos; state: room_id, type, state_key, event_id of records. Whole events travel only where
+    verify is to see them.
     """
     room = records.schema["room_id"].dataType.simpleString()
-    rows = _with_state(records, order.select("room_id", "event_id", F.col("pos").alias("mark")), state)
+    if verify:
+        rows, made = _with_state(records, COLUMNS, order, state), events_of
+    else:
+        counted = records.withColumns({n: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for n, c in (("n_prev", "prev_events"), ("n_auth", "auth_events"))})
+        rows, made = _with_state(counted, _JUDGED, order, state), _judged_of
 
     def run(key, rows):
-        events = events_of(r for r in rows if r[-1] != -1)
-        base = {(r[2], r[3]): events[r[1]] for r in rows if r[-1] == -1 and r[1] in events}
-        chain = sorted((r[-1], r[1]) for r in rows if r[-1] is not None and r[-1] != -1)
+        known, chain, entries = _parted(rows)
+        wanted = {x for _, x in chain}.union(x for _, x in entries)
+        events = made(known[x] for x in wanted if x in known)
+        base = {at: events[x] for at, x in entries if x in events}
         _, refused = k.check_in_order((events[x] for _, x in chain), base, version, verify)
         why = dict(refused)
         for pos, x in chain:
@@ -102,6 +139,11 @@ def checked_chain(records: DataFrame, order: DataFrame, state: DataFrame, versio
     return by_room(rows, run, f"room_id {room}, pos long, event_id string, accepted boolean, code string, required long, actual long, message string")
 
 
+def _judged_of(rows: Iterable[tuple]) -> dict:
+    """Kernel events by id from rows of _JUDGED, with stand-ins for their parents."""
+    return {r[1]: k.Event(r[1], r[2], r[3], r[4] or "", prev=range(r[6]), auth=range(r[7]), content=_json(r[5])) for r in rows}
+
+
 def power_phase(records: DataFrame, version: str) -> DataFrame:
     """room_id, type, state_key, event_id: each room's agreed entries and what the power phase over its disputed ones resolves."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +34,8 @@ def _values(c: pa.Array) -> list:
     else:
         return c.to_pylist()
     if c.null_count:
-        for i, none in enumerate(c.is_null().to_pylist()):
-            if none:
-                out[i] = None
+        for i in c.is_null().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+            out[i] = None
     return out
 
 
@@ -51,14 +50,29 @@ def by_room(df: DataFrame, run: Callable[[object, list], Iterable[tuple]], schem
     names = list(df.columns)
     at = [names.index(k) for k in keys]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each key with its rows, which may lie in several batches."""
+        held_key, held = None, []
         for b in batches:
-            yield from zip(*map(_values, b.columns), strict=True)
+            columns = [_values(c) for c in b.columns]
+            rows = list(zip(*columns, strict=True))
+            found = columns[at[0]] if len(at) == 1 else list(zip(*(columns[k] for k in at), strict=True))
+            start = 0
+            for end in [*(i for i, (x, y) in enumerate(pairwise(found), 1) if x != y), *([len(rows)] if rows else [])]:
+                if held and found[start] == held_key:
+                    held += rows[start:end]
+                else:
+                    if held:
+                        yield held_key, held
+                    held_key, held = found[start], rows[start:end]
+                start = end
+        if held:
+            yield held_key, held
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for key, group in groupby(rows(batches), lambda r: tuple(r[k] for k in at)):
-            for row in run(key[0] if len(key) == 1 else key, list(group)):
+        for key, group in groups(batches):
+            for row in run(key, group):
                 held.append(row)
                 if len(held) >= 10_000:
                     yield _batch(held, out)
