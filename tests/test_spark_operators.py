@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forkweave.functions import content, settings, tables
-from forkweave.operators import auth, formats, graph, kernel as k, order, reports, resolve as r, state, state as s
+from forkweave.operators import auth, formats, graph, kernel as k, lattice, order, reports, resolve as r, state, state as s
 from forkweave.sources import events as src, generate
 
 JOINED = {"!r0", "!r1"}
@@ -314,3 +314,18 @@ def test_checked_chain_moves_the_records_once(records, version):
             assert (strict.pop((room, x)).message == "InvalidSyntax: odd") == bool(events[x].depth % 2 and events[x].prev)
             n += 1
     assert n > 50 and not rows and not strict
+
+
+def test_lattice_joins_work_out_their_records_once(spark, records):
+    """Whatever the records come from is in the plan of one cached table alone; the result is the kernel's."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    counted = records.select(*r.COLUMNS).mapInArrow(tell, records.select(*r.COLUMNS).schema)
+    got = {tuple(x) for x in lattice.fold(counted, "V2").collect()}
+    assert asked.value == records.count()
+    assert got == {tuple(x) for x in r.lattice(records, "V2").collect()}
