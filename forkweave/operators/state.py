@@ -77,17 +77,21 @@ def snapshots(chain: DataFrame) -> DataFrame:
 def reconstruct(chain: DataFrame, whole: DataFrame, targets: DataFrame) -> DataFrame:
     """room_id, target, type, state_key, event_id: the states at target places, each from its last snapshot and the deltas behind it.
 
-    Targets, snapshots and deltas meet by room and snapshot, so that a target meets the deltas of one block alone.
+    Targets, snapshots and deltas meet by room and snapshot, so that a target meets the deltas of one block alone. An entry
+    of a block holds from its place to the next one of its key there, so that each target takes one entry of a key and
+    the result, which is far larger than the chain, is neither shuffled nor aggregated.
     """
     places = chain.select("room_id", "seq", "is_snapshot", F.lit(None).cast("long").alias("target"))
     asked = targets.select("room_id", F.col("target").cast("long").alias("seq"), F.lit(False).alias("is_snapshot"), F.col("target").cast("long").alias("target"))
     so_far = Window.partitionBy("room_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     start = places.unionByName(asked).withColumn("mark", F.max(F.when(F.col("is_snapshot"), F.col("seq"))).over(so_far))
     start = start.where("target is not null and mark is not null").select("room_id", "target", "mark").distinct()
-    base = start.join(whole.withColumnRenamed("seq", "mark"), ["room_id", "mark"]).select("room_id", "target", F.col("mark").alias("seq"), "type", "state_key", "event_id")
+    base = whole.select("room_id", F.col("seq").alias("mark"), "seq", "type", "state_key", "event_id")
     deltas = _numbered(chain).where("state_key is not null and seq > mark").select("room_id", "mark", "seq", "type", "state_key", "event_id")
-    later = start.join(deltas, ["room_id", "mark"]).where("seq <= target").select("room_id", "target", "seq", "type", "state_key", "event_id")
-    return base.unionByName(later).groupBy("room_id", "target", "type", "state_key").agg(F.max_by("event_id", "seq").alias("event_id"))
+    of_key = Window.partitionBy("room_id", "mark", "type", "state_key").orderBy("seq")
+    entries = base.unionByName(deltas).repartition("room_id", "mark").withColumn("until", F.lead("seq").over(of_key))
+    held = start.join(entries, ["room_id", "mark"]).where("seq <= target and (until is null or target < until)")
+    return held.select("room_id", "target", "type", "state_key", "event_id")
 
 
 def reconstruct_events(chain: DataFrame, whole: DataFrame, events: DataFrame) -> DataFrame:

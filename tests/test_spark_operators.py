@@ -329,3 +329,18 @@ def test_lattice_joins_work_out_their_records_once(spark, records):
     got = {tuple(x) for x in lattice.fold(counted, "V2").collect()}
     assert asked.value == records.count()
     assert got == {tuple(x) for x in r.lattice(records, "V2").collect()}
+
+
+def test_reconstruction_shuffles_no_result(records):
+    """Targets meet entries that hold at them; what is rebuilt is neither shuffled nor aggregated, and is each place's state."""
+    chain = s.linear_chain(records, 7)
+    got = s.reconstruct(chain, s.snapshots(chain), chain.select("room_id", F.col("seq").alias("target")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    states, want = {}, set()
+    for x in sorted(chain.collect(), key=lambda x: (x.room_id, x.seq)):
+        if x.state_key is not None:
+            states.setdefault(x.room_id, {})[x.type, x.state_key] = x.event_id
+        want |= {(x.room_id, x.seq, *at, y) for at, y in states.get(x.room_id, {}).items()}
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
